@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -60,3 +61,18 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def unsigned_hex(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the session's shared folder; later reads take only the columns they need."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate x once for every use in body."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import language_id, simhash
+from . import flac, language_id, licenses, line_dedup, mixing, pii, quality, simhash, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2,
     "op3_simhash": simhash.op3,
+    "op4_mixing": mixing.op4,
+    "op5_pii": pii.op5,
+    "op6_licenses": licenses.op6,
+    "op7_quality": quality.op7,
+    "op8_flac": flac.op8,
+    "op9_line_dedup": line_dedup.op9,
     "op10_language_id": language_id.op10,
 }
 ORACLES: dict[str, str] = {}
