@@ -166,5 +166,14 @@ def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep
     return judged.select(*[F.col(n).alias(c) for c, n in zip(carried, names, strict=True)], *numbers)
 
 
+def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, in all their columns, that keep their place under the rules."""
+    names = [f"in{i}" for i in range(len(docs.columns))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(text_col).alias("body"), F.col(lang_col).alias("ref"))
+    refs = references(measures(source.select("body", "ref"), "body"), "ref").collect()
+    kept = judge(measures(source, "body"), refs).where("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])

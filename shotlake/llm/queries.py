@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import flac, language_id, licenses, line_dedup, mixing, pii, quality, simhash, suffix_dedup
+from . import flac, language_id, licenses, line_dedup, mixing, pii, quality, sentence_pieces, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_sentence_pieces": sentence_pieces.op1,
     "op2_suffix_dedup": suffix_dedup.op2,
     "op3_simhash": simhash.op3,
     "op4_mixing": mixing.op4,

@@ -255,6 +255,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, id_col: str =
     return fps.join(by_fp, "fp").select(id_col, "fp", "component")
 
 
+#: Words of a shingle and differing bits for filtering a corpus: 0.8 of shingles in common on the border of what links.
+FILTER_WORDS, FILTER_BITS = 5, 6
+
+
+def filtered(docs: DataFrame, words: int = FILTER_WORDS, tau: int = FILTER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, in all their columns, with the smallest id of their component; one row for each id."""
+    found = near_duplicates(docs, words, tau, id_col, text_col)
+    stay = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
+    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
