@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 KEYFRAME = r"^(.+)_s(\d+)_f(\d+)$"
 VIDEO = r"^[A-Za-z0-9][A-Za-z0-9_-]*$"
@@ -39,17 +40,17 @@ def pts_to_ms(pts: Column, num: Column, den: Column) -> Column:
     return F.floor((2 * pts * num * 1000 + den) / (2 * den))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_strip(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_diacritics(x: pd.Series) -> pd.Series:
     """Without combining marks; the stroked D has no decomposition and is replaced first."""
 

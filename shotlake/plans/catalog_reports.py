@@ -88,8 +88,8 @@ def matches(spark, d):
     return V.table(spark, d, "part").select("p_partkey", A.matches(said, F.array(F.lit("five"), F.lit("6")), F.lit("number")).alias("ok"))
 
 
-@query("x07_seed_hypotheses", """with r as (select event_id rank, 'q' query_id, [event_type, 'u' || (user_id % 4)] n from events where event_id < 40), f as (select query_id, unnest(n) as name, rank, generate_subscripts(n,1) pos from r where rank <= 20), g as (select query_id, name, min((rank,pos)) at from f group by all)
- select query_id, name, row_number() over (order by at) ord from g""")
+@query("x07_seed_hypotheses", """with r as (select event_id rank, 'q' query_id, [event_type, 'u' || (user_id % 4)] n from events where event_id < 40), f as (select query_id, unnest(n) as name, rank, generate_subscripts(n,1) pos from r where rank <= 20), g as (select query_id, name, min((rank,pos)) p from f group by all)
+ select query_id, name, row_number() over (order by p) ord from g""")
 def seeds(spark, d):
     e = V.table(spark, d, "events").where("event_id < 40").select(F.lit("q").alias("query_id"), F.col("event_id").alias("rank"), F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string"))).alias("spoken_entities"))
     return A.seed_hypotheses(e, 20)
