@@ -27,8 +27,10 @@ from .common import map_texts, raw_texts, settle, unsigned_hex
 from .graph import components
 
 BITS = 64
-#: Members of a bucket up to which a plain join probes it; larger buckets go to blocks of this many rows.
+#: Members of a bucket up to which a plain join probes it at least (else 8 times the mean); larger buckets go to blocks of this many rows.
 BUCKET = 64
+BIN_BITS = 8
+BINS = 1 << BIN_BITS
 BLOCK = 2048
 #: Cost of one probe row against one candidate pair, for the dynamic programme.
 PROBE_COST = 8.0
@@ -48,8 +50,8 @@ def _hashes(text: bytes, words: int) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint_array(texts: list[bytes], words: int) -> np.ndarray:
-    """uint64 fingerprints: a bit is 1 if set in over half of a text's shingle hashes."""
+def fingerprint_array(texts: list[bytes], words: int, sketches: list[bytes] | None = None) -> np.ndarray:
+    """uint64 fingerprints: a bit is 1 if set in over half of a text's shingle hashes. Fills `sketches` if it is given."""
     out = np.zeros(len(texts), np.uint64)
     flat: list[int] = []
     rows: list[int] = []
@@ -58,11 +60,14 @@ def fingerprint_array(texts: list[bytes], words: int) -> np.ndarray:
     def flush() -> None:
         if not rows:
             return
-        bits = np.unpackbits(np.array(flat, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        hashes = np.array(flat, np.uint64)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         sizes = np.diff([*starts, len(flat)])
         packed = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little")
         out[rows] = np.ascontiguousarray(packed).view(np.uint64)[:, 0]
+        if sketches is not None:
+            _sketch(hashes, rows, sizes, sketches)
         flat.clear(), rows.clear(), starts.clear()
 
     for i, text in enumerate(texts):
@@ -76,15 +81,32 @@ def fingerprint_array(texts: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): one row per document, fp the fingerprint as a signed long."""
+def _sketch(hashes: np.ndarray, rows: list[int], sizes: np.ndarray, out: list[bytes]) -> None:
+    """One-permutation sketches: in each of BINS ranges of the hash the least value's 15 low bits plus 1; 0 for an empty bin."""
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    cell = np.repeat(np.arange(len(rows)), sizes) * BINS + (mixed >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    value = (mixed << np.uint64(BIN_BITS)) >> np.uint64(BIN_BITS)
+    order = np.lexsort((value, cell))
+    first = np.ones(len(order), bool)
+    first[1:] = cell[order][1:] != cell[order][:-1]
+    table = np.zeros(len(rows) * BINS, np.uint16)
+    picked = order[first]
+    table[cell[picked]] = (value[picked] & np.uint64(0x7FFF)).astype(np.uint16) + 1
+    for i, row in zip(rows, table.reshape(-1, BINS), strict=True):
+        out[i] = row.tobytes()
+
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False) -> DataFrame:
+    """(id_col, fp[, sketch]): one row per document, fp the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = fingerprint_array(raw_texts(batch, text_col), words).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps)], [id_col, "fp"])
+        made = [bytes(2 * BINS)] * batch.num_rows if sketch else None
+        fps = fingerprint_array(raw_texts(batch, text_col), words, made).view(np.int64)
+        more = [pa.array(made, pa.binary())] if sketch else []
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps), *more], [id_col, "fp", *["sketch"] * sketch])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), run, f"{id_col} {kind}, fp long", text_col)
+    return map_texts(docs.select(id_col, text_col), run, f"{id_col} {kind}, fp long" + ", sketch binary" * sketch, text_col)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -124,32 +146,37 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def candidate_share(p: np.ndarray, bits: list[int], most: int) -> list[float]:
-    """Estimated share of pairs that differ in at most t of `bits`, for t up to `most`."""
-    dist = np.zeros(len(bits) + 1)
-    dist[0] = 1.0
-    for b in bits:
-        differ = 2 * p[b] * (1 - p[b])
-        dist[1:] = dist[1:] * (1 - differ) + dist[:-1] * differ
-        dist[0] *= 1 - differ
-    return np.cumsum(dist)[: most + 1].tolist()
+def match_share(p: np.ndarray, bits: list[int]) -> float:
+    """Estimated share of pairs that agree in all of `bits`, from each bit's frequency over all fingerprints."""
+    return float(np.prod([1 - 2 * p[b] * (1 - p[b]) for b in bits]))
+
+
+def variants(n: int, t: int) -> int:
+    return sum(comb(n, i) for i in range(t + 1))
+
+
+def radii(t: int) -> tuple[int, int]:
+    """Flips on the index side and on the probe side that together reach t."""
+    return t // 2, t - t // 2
 
 
 def allocate(n: int, p: np.ndarray, groups: list[list[int]], tau: int) -> tuple[float, list[int]]:
     """Thresholds t_i >= -1 with sum(t_i + 1) = tau + 1 and the least estimated cost, by dynamic programming.
 
     Two fingerprints within tau differ in at most t_i bits of some group i, or
-    the sum over the groups would exceed tau. -1 leaves a group out.
+    the sum over the groups would exceed tau. -1 leaves a group out. The cost
+    of a threshold is its rows on both sides and the candidates that meet.
     """
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for bits in groups:
-        share = candidate_share(p, bits, tau)
+        share = match_share(p, bits)
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
-            for t in range(-1, tau - used + 1):
-                if t >= len(bits) or used + t + 1 > tau + 1:
-                    continue
-                more = 0.0 if t < 0 else PROBE_COST * n * (1 + sum(comb(len(bits), i) for i in range(t + 1))) + share[t] * n * n / 2
+            for t in range(-1, min(len(bits) - 1, tau - used) + 1):
+                more = 0.0
+                if t >= 0:
+                    a, b = (variants(len(bits), r) for r in radii(t))
+                    more = PROBE_COST * n * (a + b) + share * a * b * n * n / 2
                 if used + t + 1 not in step or cost + more < step[used + t + 1][0]:
                     step[used + t + 1] = (cost + more, [*chosen, t])
         best = step
@@ -180,18 +207,25 @@ def _variants(bits: list[int], t: int) -> list[int]:
 def _keyed(fps: DataFrame, groups: list[tuple[int, int, list[int]]], probe: bool) -> DataFrame:
     def keys(g: int, t: int, bits: list[int]) -> Column:
         key = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        flips = _variants(bits, t) if probe else [0]
-        masks = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>")
+        masks = F.split(F.lit(",".join(map(str, _variants(bits, radii(t)[probe])))), ",").cast("array<bigint>")
         return F.transform(masks, lambda m: F.struct(F.lit(g).alias("part"), key.bitwiseXOR(m).alias("key")))
 
     return fps.select("fp", F.explode(F.flatten(F.array(*[keys(*g) for g in groups]))).alias("k")).select("fp", "k.part", "k.key")
 
 
-def _spanning(tau: int):
+def sketch_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches: equal bins among those that either has filled."""
+    filled = ((a > 0) | (b > 0)).sum(-1)
+    return np.where(filled > 0, ((a == b) & (a > 0)).sum(-1) / np.maximum(filled, 1), 1.0)
+
+
+def _spanning(tau: int, similarity: float | None):
     """For one block pair: a spanning forest of the links between its fingerprints."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.unique(pdf["fp"].to_numpy(np.int64))
+        pdf = pdf.drop_duplicates("fp").sort_values("fp")
+        x = pdf["fp"].to_numpy(np.int64)
+        sketches = np.stack([np.frombuffer(s, np.uint16) for s in pdf["sketch"]]) if similarity is not None and len(x) else None
         parent = np.arange(len(x))
 
         def find(i: int) -> int:
@@ -202,66 +236,82 @@ def _spanning(tau: int):
 
         out = []
         for i in range(len(x) - 1):
-            near = np.nonzero(np.bitwise_count(np.bitwise_xor(x[i + 1 :], x[i]).view(np.uint64)) <= tau)[0]
+            near = i + 1 + np.nonzero(np.bitwise_count(np.bitwise_xor(x[i + 1 :], x[i]).view(np.uint64)) <= tau)[0]
+            if sketches is not None and len(near):
+                near = near[sketch_share(sketches[near], sketches[i]) >= similarity]
             for j in near.tolist():
-                a, b = find(i), find(i + 1 + j)
+                a, b = find(i), find(j)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    out.append((x[i], x[i + 1 + j]))
+                    out.append((x[i], x[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def links(distinct: DataFrame, tau: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints of at most `tau` differing bits.
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(sketch_share(a, b) >= similarity))
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def links(distinct: DataFrame, tau: int = 3, similarity: float | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp[, sketch]) of at most `tau` differing bits and, if asked, sketches of `similarity`.
 
-    Buckets of up to BUCKET members give every link. A larger bucket is dealt
+    Buckets of usual size give every link. A bucket far above the mean is dealt
     in pairs of blocks to many tasks, each of which returns a spanning forest
     of the links of its block pair, so that components are exact and a bucket's
     rows do not grow with its square.
     """
-    groups = plan(distinct, tau)
-    index = _keyed(distinct, groups, probe=False)
-    exact = all(t == 0 for _, t, _ in groups)
-    probes = index if exact else _keyed(distinct, groups, probe=True)
-    sizes = probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"))
-    hot = settle(sizes.where(F.col("n") > BUCKET))
+    groups = plan(distinct.select("fp"), tau)
+    index, probes = _keyed(distinct, groups, probe=False), _keyed(distinct, groups, probe=True)
+    sizes = settle(probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")))
+    usual = {r.part: r.mean for r in sizes.groupBy("part").agg(F.avg("n").alias("mean")).collect()}
+    most = F.create_map(*[F.lit(x) for part, mean in usual.items() for x in (part, float(max(BUCKET, 8 * mean)))]) if usual else None
+    hot = sizes.where(F.col("n") > most[F.col("part")]) if usual else sizes
     b = index.select("part", "key", F.col("fp").alias("b"))
-    pairs = probes.join(hot, ["part", "key"], "left_anti").withColumnRenamed("fp", "a").join(b, ["part", "key"])
-    small = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)).select("a", "b")
-    if not exact:
-        flipped = pairs.where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau))
-        small = small.unionAll(flipped.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)
+    small = probes.join(hot, ["part", "key"], "left_anti").withColumnRenamed("fp", "a").join(b, ["part", "key"]).where(near).select("a", "b").distinct()
+    if similarity is not None:
+        sketches = distinct.select("fp", "sketch")
+        both = small.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        small = _alike(both, similarity)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = probes.unionByName(index).distinct() if any(t for _, t, _ in groups) else index
     dealt = (
-        probes.join(hot, ["part", "key"])
+        member.join(hot, ["part", "key"])
         .withColumn("x", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
         .withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("fp", "part", "key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     )
-    large = dealt.groupBy("part", "key", "x", "y").applyInPandas(_spanning(tau), "a long, b long")
+    if similarity is not None:
+        dealt = dealt.join(distinct.select("fp", "sketch"), "fp")
+    large = dealt.groupBy("part", "key", "x", "y").applyInPandas(_spanning(tau, similarity), "a long, b long")
     return small.unionAll(large).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component): component is the smallest id reachable over links."""
-    fps = settle(fingerprints(docs, words, id_col, text_col))
-    distinct = settle(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    labels = components(links(distinct.select("fp"), tau))
+def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fp, component): component is the smallest id reachable over links. similarity: links need that share of shingles too, by sketch."""
+    fps = settle(fingerprints(docs, words, id_col, text_col, similarity is not None))
+    others = [F.min_by("sketch", id_col).alias("sketch")] if similarity is not None else []
+    distinct = settle(fps.groupBy("fp").agg(F.min(id_col).alias("rep"), *others))
+    labels = components(links(distinct.drop("rep"), tau, similarity))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     by_fp = named.join(least, "label").select("fp", "component")
-    return fps.join(by_fp, "fp").select(id_col, "fp", "component")
+    return fps.select(id_col, "fp").join(by_fp, "fp").select(id_col, "fp", "component")
 
 
-#: Words of a shingle and differing bits for filtering a corpus: 0.8 of shingles in common on the border of what links.
-FILTER_WORDS, FILTER_BITS = 5, 6
+#: For filtering a corpus: words of a shingle, differing bits of candidates, and the share of shingles that links.
+FILTER_WORDS, FILTER_BITS, FILTER_SIMILARITY = 5, 10, 0.8
 
 
-def filtered(docs: DataFrame, words: int = FILTER_WORDS, tau: int = FILTER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filtered(docs: DataFrame, words: int = FILTER_WORDS, tau: int = FILTER_BITS, similarity: float = FILTER_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, in all their columns, with the smallest id of their component; one row for each id."""
-    found = near_duplicates(docs, words, tau, id_col, text_col)
+    found = near_duplicates(docs, words, tau, similarity, id_col, text_col)
     stay = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
     return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
 
