@@ -32,7 +32,7 @@ BLOCK = 4096
 RATE = 8000
 PAD = 64
 #: Payload bytes that a batch encodes or decodes side by side.
-TOGETHER = 3 << 20
+TOGETHER = 1 << 20
 
 
 @lru_cache(maxsize=1)
