@@ -203,3 +203,27 @@ def plan_labels(spec: DataFrame, fields: DataFrame, weights: DataFrame) -> DataF
     label = F.concat(F.col("field"), F.col("item_ord").cast("string"), F.lit("."), F.col("channel"))
     planned = joined.select("query_id", label.alias("label"), "channel", "text", (F.col("field_weight") * F.col("channel_weight")).alias("weight"), "field_ord", "item_ord")
     return numbered(planned, ["query_id"], F.col("field_ord"), F.col("item_ord"), F.col("channel"), name="label_ord")
+
+
+def chunk_labels(plan: DataFrame, channel: str, most: int) -> DataFrame:
+    """Split the texts of a channel's sub-queries into sentences; each chunk is a label of its own with its position, and carries an equal share of the weight."""
+    from ..functions.text import sentences
+
+    split = plan.where(F.col("channel") == channel).withColumn("parts", sentences(F.col("text"), most)).withColumn("n", F.size("parts"))
+    chunks = split.select("query_id", F.col("label").alias("parent"), "channel", "weight", "n", F.posexplode("parts").alias("pos", "text"))
+    name = F.when(F.col("n") == 1, F.col("parent")).otherwise(F.concat(F.substring_index("parent", ".", 1), F.lit("c"), F.col("pos").cast("string"), F.lit("."), F.col("channel")))
+    rest = plan.where(F.col("channel") != channel).select("query_id", "label", "channel", "text", "weight", F.lit(None).cast("int").alias("pos"))
+    return chunks.select("query_id", name.alias("label"), "channel", "text", (F.col("weight") / F.col("n")).alias("weight"), F.when(F.col("n") > 1, F.col("pos")).alias("pos")).unionByName(rest)
+
+
+def parity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per query of two rankings (query_id, id, rank, score): whether the id lists are equal, and the greatest difference of scores."""
+    both = a.select("query_id", "rank", F.col("id").alias("id_a"), F.col("score").alias("s_a")).join(b.select("query_id", "rank", F.col("id").alias("id_b"), F.col("score").alias("s_b")), ["query_id", "rank"], "full_outer")
+    return both.groupBy("query_id").agg(F.bool_and(F.col("id_a").eqNullSafe(F.col("id_b"))).alias("same"), F.max(F.abs(F.col("s_a") - F.col("s_b"))).alias("drift"))
+
+
+def mean_vector(rows: DataFrame, by: str, digits: int = 6) -> DataFrame:
+    """(by, vec): renormalised mean of the vectors of each group."""
+    means = rows.select(by, F.posexplode("vec").alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    listed = means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
+    return listed.select(by, F.transform(normalised(F.col("v")), lambda x: F.round(x, digits)).alias("vec"))
