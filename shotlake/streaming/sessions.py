@@ -68,8 +68,8 @@ def answer_queue(answers: DataFrame, cap: int = 100) -> DataFrame:
     return ranked.where(F.col("place") <= cap)
 
 
-def stream(events: DataFrame, cap: int, idle: str = "2 hours") -> DataFrame:
-    """The stack and version of each session after each batch of a stream of (session_id, seq, text); idle sessions end."""
+def stream(events: DataFrame, cap: int, idle: str | None = "2 hours") -> DataFrame:
+    """The stack and version of each session after each batch of a stream of (session_id, seq, text); idle sessions end, or none if `idle` is None."""
 
     def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -83,8 +83,9 @@ def stream(events: DataFrame, cap: int, idle: str = "2 hours") -> DataFrame:
                     stack = [f"{stack[0]}; {stack[1]}", *stack[2:]]
                 stack.append(text.strip())
         state.update((stack, version))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame({"session_id": [key[0]], "stack": [stack], "version": [version]})
 
     kind = events.schema["session_id"].dataType.simpleString()
-    return events.groupBy("session_id").applyInPandasWithState(update, f"session_id {kind}, stack array<string>, version bigint", "stack array<string>, version bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session_id").applyInPandasWithState(update, f"session_id {kind}, stack array<string>, version bigint", "stack array<string>, version bigint", "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

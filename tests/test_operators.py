@@ -167,7 +167,7 @@ def test_session_stream(spark, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("s", 1, " a "), ("s", 2, "b"), ("s", 3, "c"), ("t", 1, "")], kind).coalesce(1).write.parquet(source)
     seen = []
-    query = S.stream(spark.readStream.schema(kind).parquet(source), 2).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", sink).trigger(availableNow=True).start()
+    query = S.stream(spark.readStream.schema(kind).parquet(source), 2, None).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", sink).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert {r.session_id: (r.stack, r.version) for r in seen} == {"s": (["a; b", "c"], 3), "t": ([], 1)}
     batch = S.folded(spark.read.schema(kind).parquet(source), 2).collect()
