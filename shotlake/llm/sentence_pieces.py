@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words that may be broadcast, and the longest word that the relational fold takes.
-MOST_WORDS = 1 << 18
+MOST_WORDS = 1 << 17
 LONGEST = 24
 #: Words kept by a Python worker beyond the broadcast ones.
 KEPT_WORDS = 150_000
@@ -124,14 +124,16 @@ def _bits(a: Column, b: Column) -> Column:
 def fold_merges(n: Column, edges: Column) -> Column:
     """Borders (bit p for place p) after merging, again and again, the best edge that covers exactly two parts."""
 
-    def best(mask: Column) -> Column:
-        usable = F.filter(edges, lambda e: (mask.bitwiseAND(_bits(e["a"], e["a"] + 1)) != 0) & (mask.bitwiseAND(_bits(e["b"], e["b"] + 1)) != 0) & (F.bit_count(mask.bitwiseAND(_bits(e["a"] + 1, e["b"]))) == 1))
-        return F.array_min(F.transform(usable, lambda e: F.struct((-e["score"]).alias("s"), e["a"].alias("a"), e["b"].alias("b"))))
+    # the bits that an edge needs set, and those inside it, are worked out once
+    marked = F.transform(edges, lambda e: F.struct((-e["score"]).alias("s"), e["a"].alias("a"), _bits(e["a"], e["a"] + 1).bitwiseOR(_bits(e["b"], e["b"] + 1)).alias("ends"), _bits(e["a"] + 1, e["b"]).alias("inner")))
+    longer = F.filter(marked, lambda e: e["inner"] != 0)
 
-    def step(mask: Column, _: Column) -> Column:
-        return let(best(mask), lambda x: F.when(x.isNull(), mask).otherwise(mask.bitwiseAND(F.bitwise_not(_bits(x["a"] + 1, x["b"])))))
+    def run(edges: Column) -> Column:
+        usable = lambda mask: F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
+        step = lambda mask, _: let(F.array_min(usable(mask)), lambda x: F.when(x.isNull(), mask).otherwise(mask.bitwiseAND(F.bitwise_not(x["inner"]))))
+        return F.aggregate(F.sequence(F.lit(1), n), _bits(F.lit(0), n + 1), step)
 
-    return F.aggregate(F.sequence(F.lit(1), n), _bits(F.lit(0), n + 1), step)
+    return let(longer, run)
 
 
 def fold_viterbi(n: Column, edges: Column, unknown: float = -100.0) -> Column:
