@@ -11,9 +11,9 @@ occurs once can't repeat and is dropped, equal segments are folded into the
 earliest of them, and what is left are different segments around one repeated
 minimizer. Those are cut into shards, each shard gets its Burrows-Wheeler
 transform, and the transforms are merged by refining their interleave: each
-round distributes the current order stably by the preceding byte, which sorts
-one byte deeper, and marks new block borders, so a border's round is its
-common prefix. Blocks after LENGTH rounds are the repeated intervals; in each,
+round distributes the current order stably by the preceding bytes, which sorts
+as many bytes deeper, and marks new block borders, so a border's round gives
+its common prefix. Blocks after LENGTH rounds are the repeated intervals; in each,
 all but the earliest string go. No suffix is sorted again.
 
 Null texts count as empty. Texts shorter than LENGTH lose nothing. Repeated
@@ -37,8 +37,8 @@ from .common import map_texts, raw_texts, table, written
 LENGTH, K = 100, 24
 #: Starts of a document that are scanned at once, bytes of segments merged at once, and shards of a merge.
 PIECE = 1 << 22
-MERGE_BYTES = 1 << 21
-SHARDS = 8
+MERGE_BYTES = 1 << 19
+SHARDS = 2
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 24) - 1)
 
@@ -195,7 +195,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | wide[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     depth = 8
     while True:
         fresh = np.ones(n, bool)
@@ -207,39 +207,61 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         later = np.zeros(n, np.uint64)
         later[: max(0, n - depth)] = rank[depth:]
         key = rank << np.uint64(32) | later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         depth *= 2
 
 
+def _symbols(text: np.ndarray, step: int) -> np.ndarray:
+    """The `step` bytes before each place, as one number in byte order; the text is a circle."""
+    out = np.zeros(len(text), np.uint64)
+    for i in range(step, 0, -1):
+        out = out << np.uint64(8) | np.roll(text, i)
+    return out
+
+
+def _alphabet(shards: list[np.ndarray], depth: int) -> tuple[int, list[np.ndarray]]:
+    """The most bytes a round can take so that their kinds fit 16 bits, and each shard's symbols numbered in byte order."""
+    for step in (5, 4, 2, 1):
+        if depth % step:
+            continue
+        packed = [_symbols(s, step) for s in shards]
+        if step <= 2:
+            return step, [p.astype(np.uint16) for p in packed]
+        kinds, number = np.unique(np.concatenate(packed), return_inverse=True)
+        if len(kinds) <= 1 << 16:
+            return step, np.split(number.astype(np.uint16), np.cumsum([len(p) for p in packed])[:-1])
+    raise ValueError("depth must be positive")
+
+
 def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge the shards' transforms by `depth` rounds of interleave refinement.
+    """Merge the shards' transforms by interleave refinement to `depth` bytes.
 
-    Returns for each merged place its shard, its place in the shard's text, and
-    the common prefix with the place before it (`depth` where it is at least that).
+    A transform holds for each suffix, in order, the bytes before it; a round
+    takes several bytes at once where their kinds fit a 16-bit symbol. Returns
+    for each merged place its shard, its place in the shard's text, and the
+    common prefix with the place before it, in whole rounds, at most `depth`.
     """
     orders = [suffix_order(s) for s in shards]
-    sizes = [len(s) for s in shards]
-    offsets = np.cumsum([0, *sizes])
-    transform = np.concatenate([np.concatenate([s[-1:], s[:-1]])[o] for s, o in zip(shards, orders, strict=True)])
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    step, symbols = _alphabet(shards, depth)
+    transforms = [x[o] for x, o in zip(symbols, orders, strict=True)]
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
     block = np.zeros(len(z), np.int32)
     common = np.full(len(z), depth, np.int16)
-    if len(common):
-        common[0] = 0
-    for level in range(depth):
-        by_shard = np.argsort(z, kind="stable")
-        symbol = np.empty(len(z), np.uint8)
-        symbol[by_shard] = transform
+    common[:1] = 0
+    symbol = np.empty(len(z), np.uint16)
+    for level in range(0, depth, step):
+        for s, t in enumerate(transforms):
+            symbol[z == s] = t
         order = np.argsort(symbol, kind="stable")
         z = z[order]
-        symbol, block = symbol[order], block[order]
+        now, block = symbol[order], block[order]
         border = np.zeros(len(z), bool)
-        border[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        border[1:] = (now[1:] != now[:-1]) | (block[1:] != block[:-1])
         common[border & (common == depth)] = level
         block = np.cumsum(border, dtype=np.int32)
-    by_shard = np.argsort(z, kind="stable")
     place = np.empty(len(z), np.int64)
-    place[by_shard] = np.concatenate(orders)
+    for s, o in enumerate(orders):
+        place[z == s] = o
     return z, place, common
 
 
