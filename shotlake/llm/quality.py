@@ -30,21 +30,21 @@ SYMBOL_SHARE = 100
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) from the nearest language reference.
 MAX_CHAR_DISTANCE, MAX_MARK_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.30, 0.80
 
-#: Character classes, each character counts in the first that matches.
+#: Character classes that are counted; what is left, mostly lower-case letters, is the first class.
 CLASSES = {
-    "lower": r"\p{Ll}",
-    "upper": r"\p{Lu}",
-    "digit": r"\p{Nd}",
+    "upper": r"[A-Z]",
+    "digit": r"[0-9]",
     "stop": r"[.,;:?'\"-]",
     "symbol": r"[#*$%&|<>!=+/\\@^~_{}\[\]()]",
     "space": SPACE,
+    "other": r"[^\x00-\x7F]",
 }
 #: Frequent function words of four languages.
 COMMON = (
-    "the of and to in a is that it for on was be with as"  # English
-    " de la le et les des en un du une que est pour qui dans"  # French
-    " der die und den von zu das mit sich des auf ist im dem nicht"  # German
-    " el los las por con para una su al lo como más pero sus y"  # Spanish
+    "the of and to in a"  # English
+    " de la le et les des"  # French
+    " der die und den von zu"  # German
+    " el los las por con para"  # Spanish
 ).split()
 WORDS = list(dict.fromkeys(COMMON))
 
@@ -71,8 +71,9 @@ def repeated_words(words: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(grams)) < F.size(grams), union(let(marked, places))).otherwise(0)
 
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-    return let(words, lambda w: F.when(F.size(w) > WINDOW, let(grams(w), covered)).otherwise(0)).cast("long")
+    grams = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: F.when(F.size(h) > WINDOW, let(grams(h), covered)).otherwise(0)).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -91,7 +92,7 @@ def word_histogram(words: Column) -> Column:
 def class_histogram(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     counts = F.array(*[F.regexp_count(text, F.lit(p)).cast("int") for p in CLASSES.values()])
-    return let(counts, lambda c: F.concat(c, F.array(F.greatest(F.lit(0), F.length(text) - F.aggregate(c, F.lit(0), lambda a, x: a + x)))))
+    return let(counts, lambda c: F.concat(F.array(F.length(text) - F.aggregate(c, F.lit(0), lambda a, x: a + x)), c))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -145,7 +146,8 @@ def judge(measured: DataFrame, refs: list) -> DataFrame:
         if not refs:
             return F.lit(0.0)
         shapes = F.from_json(F.lit(str([list(map(int, r[col][first : first + n])) for r in refs])), "array<array<bigint>>")
-        return F.array_min(F.transform(shapes, lambda q: distance(F.slice(F.col(col), first + 1, n), q)))
+        # bound first: an expression inside a lambda would be evaluated for each element
+        return let(F.slice(F.col(col), first + 1, n), lambda own: F.array_min(F.transform(shapes, lambda q: distance(own, q))))
 
     with_distance = measured.withColumn("char_distance", nearest("classes")).withColumn("mark_distance", nearest("classes", 3, 3)).withColumn("word_distance", nearest("commons")).withColumn("base_failed", F.expr(BASE_FAILED))
     far_chars = (F.col("word_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
