@@ -130,32 +130,35 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_earlier(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """(line): the distinct lines that another line within tau edits precedes."""
-    index = lines.select("id", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probe = lines.select("id", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    n_index = index.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    hot = written(n_index.where(F.col("members") > BUCKET))
-    pairs = probe.withColumnRenamed("id", "r").join(index.withColumnRenamed("id", "s"), "key").where(F.col("r") != F.col("s"))
-    pairs = written(pairs.join(hot, "key", "left_anti").select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct())
-    texts = written(_texts(lines, pairs.select(F.col("r").alias("id")).unionAll(pairs.select(F.col("s").alias("id")))))
+    index = lines.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), F.col("id").alias("s"))
+    probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"), F.col("id").alias("r"))
+    crowded = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BUCKET))
+    # one job for usual and crowded keys: both sides are dealt by key once and merged with the crowded ones
+    hot = crowded.hint("merge")
+    pairs = probe.join(hot, "key", "left_anti").join(index.hint("merge"), "key").where(F.col("r") != F.col("s"))
+    none = F.lit(None)
+    met = pairs.select(F.lit(0).alias("kind"), F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s"), none.cast("bigint").alias("key"), none.cast("bigint").alias("members"))
+    probes = probe.join(hot, "key").select(F.lit(1).alias("kind"), "r", none.cast("bigint").alias("s"), "key", "members")
+    indexed = index.join(hot, "key").select(F.lit(2).alias("kind"), none.cast("bigint").alias("r"), "s", "key", "members")
+    met = written(met.unionByName(probes).unionByName(indexed))
+    pairs = met.where("kind = 0").select("r", "s").distinct()
+    texts = written(_texts(lines, met.select(F.explode(F.array("r", "s")).alias("id")).where("id is not null")))
     a = texts.select(F.col("id").alias("r"), F.col("line").alias("a"), F.col("first").alias("at_a"))
     b = texts.select(F.col("id").alias("s"), F.col("line").alias("b"), F.col("first").alias("at_b"))
     same = pairs.join(a, "r").join(b, "s").where(within(F.col("a"), F.col("b"), tau))
     near = same.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("line"))
-    return near.unionAll(_hot(lines, index, probe, hot, tau)).distinct()
+    return near.unionAll(_hot(met, texts, tau)).distinct()
 
 
-def _hot(lines: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame, tau: int) -> DataFrame:
-    """Lines of crowded keys that an earlier one precedes; each block of probes meets each block of indexed lines."""
-    i = written(index.join(hot, "key"))
-    p = written(probe.join(hot, "key"))
-    texts = written(_texts(lines, i.select("id").unionAll(p.select("id"))))
+def _hot(met: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """Lines of crowded keys that an earlier one precedes; each block of indexed lines meets all probes of its key."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    i = i.join(texts, "id").select("key", F.pmod("id", blocks).cast("int").alias("block"), F.col("line").alias("a"), F.col("first").alias("at_a"))
-    p = p.join(texts, "id").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "block", F.col("line").alias("b"), F.col("first").alias("at_b"))
-    met = [F.col("x.key") == F.col("y.key"), F.col("x.block") == F.col("y.block")]
+    i = met.where("kind = 2").withColumn("id", F.col("s")).join(texts, "id").select("key", F.pmod("id", blocks).cast("int").alias("block"), F.col("line").alias("a"), F.col("first").alias("at_a"))
+    p = met.where("kind = 1").withColumn("id", F.col("r")).join(texts, "id").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "block", F.col("line").alias("b"), F.col("first").alias("at_b"))
+    on = [F.col("x.key") == F.col("y.key"), F.col("x.block") == F.col("y.block")]
     near = within(F.col("a"), F.col("b"), tau)
-    later = p.alias("x").join(i.alias("y"), [*met, F.col("at_a") < F.col("at_b"), near], "left_semi").select(F.col("b").alias("line"))
-    other = i.alias("x").join(p.alias("y"), [*met, F.col("at_b") < F.col("at_a"), near], "left_semi").select(F.col("a").alias("line"))
+    later = p.alias("x").join(i.alias("y"), [*on, F.col("at_a") < F.col("at_b"), near], "left_semi").select(F.col("b").alias("line"))
+    other = i.alias("x").join(p.alias("y"), [*on, F.col("at_b") < F.col("at_a"), near], "left_semi").select(F.col("a").alias("line"))
     return later.unionAll(other)
 
 
