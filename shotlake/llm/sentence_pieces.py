@@ -42,6 +42,7 @@ MOST_WORDS = 1 << 17
 LONGEST = 24
 #: Words kept by a Python worker beyond the broadcast ones.
 KEPT_WORDS = 150_000
+NEVER = float("inf")
 
 
 class Pieces(NamedTuple):
@@ -52,6 +53,7 @@ class Pieces(NamedTuple):
     unigram: bool
     longest: int
     unknown: int
+    cost: dict[str, float] = {}  # noqa: RUF012  names with scores turned round
 
 
 @lru_cache(maxsize=2)
@@ -65,7 +67,7 @@ def load(model: str = MODEL) -> Pieces:
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             known[name] = (i, sp.get_score(i))
     # the model's type stands in its serialised trainer settings: field 2, field 3
-    return Pieces(known, byte_ids, _model_type(sp.serialized_model_proto()) == 1, max(map(len, known)), sp.unk_id())
+    return Pieces(known, byte_ids, _model_type(sp.serialized_model_proto()) == 1, max(map(len, known)), sp.unk_id(), {name: -score for name, (_, score) in known.items()})
 
 
 def _fields(data: bytes):
@@ -200,15 +202,16 @@ def fold_word(word: str, pieces: Pieces) -> list[int]:
         parts.reverse()
     elif len(word) <= 40:
         parts = list(word)
-        while len(parts) > 1:
-            top, at = -1e30, -1
-            for i in range(len(parts) - 1):
-                got = known.get(parts[i] + parts[i + 1])
-                if got is not None and got[1] > top:
-                    top, at = got[1], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        cost = pieces.cost.get
+        pairs = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (least := min(pairs)) < NEVER:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = cost(parts[i] + parts[i + 1], NEVER)
+            if i:
+                pairs[i - 1] = cost(parts[i - 1] + parts[i], NEVER)
     else:
         parts = _merge_long(word, known)
     out: list[int] = []
