@@ -7,7 +7,8 @@ partition its own threshold from estimated candidate counts, an equi-join
 probes the partitions and `bit_count(a ^ b)` verifies.
 
 Null and empty texts, and texts without a word, have fingerprint zero and link
-like any other. Repeated rows share a fingerprint. An empty table gives an
+like any other. Repeated rows share a fingerprint. `filtered`, which asks for
+similarity of shingles, finds its candidates in bands of minima. An empty table gives an
 empty result. Other columns of the input are not read.
 """
 
@@ -50,8 +51,8 @@ def _hashes(text: bytes, words: int) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint_array(texts: list[bytes], words: int, sketches: list[bytes] | None = None) -> np.ndarray:
-    """uint64 fingerprints: a bit is 1 if set in over half of a text's shingle hashes. Fills `sketches` if it is given."""
+def fingerprint_array(texts: list[bytes], words: int) -> np.ndarray:
+    """uint64 fingerprints: a bit is 1 if set in over half of a text's shingle hashes."""
     out = np.zeros(len(texts), np.uint64)
     flat: list[int] = []
     rows: list[int] = []
@@ -66,8 +67,6 @@ def fingerprint_array(texts: list[bytes], words: int, sketches: list[bytes] | No
         sizes = np.diff([*starts, len(flat)])
         packed = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little")
         out[rows] = np.ascontiguousarray(packed).view(np.uint64)[:, 0]
-        if sketches is not None:
-            _sketch(hashes, rows, sizes, sketches)
         flat.clear(), rows.clear(), starts.clear()
 
     for i, text in enumerate(texts):
@@ -96,17 +95,15 @@ def _sketch(hashes: np.ndarray, rows: list[int], sizes: np.ndarray, out: list[by
         out[i] = row.tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False) -> DataFrame:
-    """(id_col, fp[, sketch]): one row per document, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fp): one row per document, fp the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [bytes(2 * BINS)] * batch.num_rows if sketch else None
-        fps = fingerprint_array(raw_texts(batch, text_col), words, made).view(np.int64)
-        more = [pa.array(made, pa.binary())] if sketch else []
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps), *more], [id_col, "fp", *["sketch"] * sketch])
+        fps = fingerprint_array(raw_texts(batch, text_col), words).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps)], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), run, f"{id_col} {kind}, fp long" + ", sketch binary" * sketch, text_col)
+    return map_texts(docs.select(id_col, text_col), run, f"{id_col} {kind}, fp long", text_col)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -213,19 +210,12 @@ def _keyed(fps: DataFrame, groups: list[tuple[int, int, list[int]]], probe: bool
     return fps.select("fp", F.explode(F.flatten(F.array(*[keys(*g) for g in groups]))).alias("k")).select("fp", "k.part", "k.key")
 
 
-def sketch_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of sketches: equal bins among those that either has filled."""
-    filled = ((a > 0) | (b > 0)).sum(-1)
-    return np.where(filled > 0, ((a == b) & (a > 0)).sum(-1) / np.maximum(filled, 1), 1.0)
-
-
-def _spanning(tau: int, similarity: float | None):
+def _spanning(tau: int):
     """For one block pair: a spanning forest of the links between its fingerprints."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("fp").sort_values("fp")
         x = pdf["fp"].to_numpy(np.int64)
-        sketches = np.stack([np.frombuffer(s, np.uint16) for s in pdf["sketch"]]) if similarity is not None and len(x) else None
         parent = np.arange(len(x))
 
         def find(i: int) -> int:
@@ -237,8 +227,6 @@ def _spanning(tau: int, similarity: float | None):
         out = []
         for i in range(len(x) - 1):
             near = i + 1 + np.nonzero(np.bitwise_count(np.bitwise_xor(x[i + 1 :], x[i]).view(np.uint64)) <= tau)[0]
-            if sketches is not None and len(near):
-                near = near[sketch_share(sketches[near], sketches[i]) >= similarity]
             for j in near.tolist():
                 a, b = find(i), find(j)
                 if a != b:
@@ -249,17 +237,8 @@ def _spanning(tau: int, similarity: float | None):
     return run
 
 
-def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(sketch_share(a, b) >= similarity))
-
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
-
-
-def links(distinct: DataFrame, tau: int = 3, similarity: float | None = None) -> DataFrame:
-    """(a, b): links between distinct fingerprints (fp[, sketch]) of at most `tau` differing bits and, if asked, sketches of `similarity`.
+def links(distinct: DataFrame, tau: int = 3) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp) of at most `tau` differing bits.
 
     Buckets of usual size give every link. A bucket far above the mean is dealt
     in pairs of blocks to many tasks, each of which returns a spanning forest
@@ -275,10 +254,6 @@ def links(distinct: DataFrame, tau: int = 3, similarity: float | None = None) ->
     b = index.select("part", "key", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)
     small = probes.join(hot, ["part", "key"], "left_anti").withColumnRenamed("fp", "a").join(b, ["part", "key"]).where(near).select("a", "b").distinct()
-    if similarity is not None:
-        sketches = distinct.select("fp", "sketch")
-        both = small.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        small = _alike(both, similarity)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = probes.unionByName(index).distinct() if any(t for _, t, _ in groups) else index
     dealt = (
@@ -287,32 +262,171 @@ def links(distinct: DataFrame, tau: int = 3, similarity: float | None = None) ->
         .withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("fp", "part", "key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     )
-    if similarity is not None:
-        dealt = dealt.join(distinct.select("fp", "sketch"), "fp")
-    large = dealt.groupBy("part", "key", "x", "y").applyInPandas(_spanning(tau, similarity), "a long, b long")
+    large = dealt.groupBy("part", "key", "x", "y").applyInPandas(_spanning(tau), "a long, b long")
     return small.unionAll(large).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component): component is the smallest id reachable over links. similarity: links need that share of shingles too, by sketch."""
-    fps = settle(fingerprints(docs, words, id_col, text_col, similarity is not None))
-    others = [F.min_by("sketch", id_col).alias("sketch")] if similarity is not None else []
-    distinct = settle(fps.groupBy("fp").agg(F.min(id_col).alias("rep"), *others))
-    labels = components(links(distinct.drop("rep"), tau, similarity))
+def sketch_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches: equal bins among those that either has filled."""
+    filled = ((a > 0) | (b > 0)).sum(-1)
+    return np.where(filled > 0, ((a == b) & (a > 0)).sum(-1) / np.maximum(filled, 1), 1.0)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fp, component): component is the smallest id reachable over links."""
+    fps = settle(fingerprints(docs, words, id_col, text_col))
+    distinct = settle(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    labels = components(links(distinct.drop("rep"), tau))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     by_fp = named.join(least, "label").select("fp", "component")
     return fps.select(id_col, "fp").join(by_fp, "fp").select(id_col, "fp", "component")
 
 
-#: For filtering a corpus: words of a shingle, differing bits of candidates, and the share of shingles that links.
-FILTER_WORDS, FILTER_BITS, FILTER_SIMILARITY = 5, 10, 0.8
+#: For filtering a corpus: words of a shingle and the share of shingles that links.
+FILTER_WORDS, FILTER_SIMILARITY = 5, 0.8
+#: Bands of ROWS minima: a pair of similarity s meets in none with probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8.
+BANDS, ROWS = 24, 4
+#: Members of a band's bucket up to which all pairs are given; larger buckets go to blocks.
+BAND_BUCKET = 32
+#: Estimated similarity from which a pair in a block is looked at: 0.8 less four standard errors of BINS bins.
+LOOSE = 0.7
+
+
+def _set_of(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(np.array(_hashes(text, words), np.uint64))
+
+
+def band_keys(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
+    """Keys of BANDS bands for each non-empty set; set i begins at starts[i] of hashes."""
+    rng = np.random.default_rng(42)
+    salt = rng.integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64)
+    out = np.zeros((len(starts), BANDS), np.uint64)
+    for k, (flip, odd) in enumerate(salt):
+        least = np.minimum.reduceat((hashes ^ flip) * (odd | np.uint64(1)), starts)
+        mixed = (out[:, k // ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, k // ROWS] = mixed ^ (mixed >> np.uint64(29))
+    return out
+
+
+def shingle_nodes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, node, n, bands): the 64-bit digest of a text's shingle set, its size, and its band keys; equal sets share all three."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_set_of(t, words) for t in raw_texts(batch, text_col)]
+        full = [i for i, x in enumerate(sets) if len(x)]
+        keys = np.zeros((len(sets), BANDS), np.uint64)
+        if full:
+            sizes = [len(sets[i]) for i in full]
+            keys[full] = band_keys(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(_digests(sets)), pa.array([len(x) for x in sets], pa.int64()), bands], [id_col, "node", "n", "bands"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_texts(docs.select(id_col, text_col), run, f"{id_col} {kind}, node long, n long, bands array<bigint>", text_col)
 
 
-def filtered(docs: DataFrame, words: int = FILTER_WORDS, tau: int = FILTER_BITS, similarity: float = FILTER_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, in all their columns, with the smallest id of their component; one row for each id."""
-    found = near_duplicates(docs, words, tau, similarity, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(node, hashes): the shingle sets of docs as bytes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_set_of(t, words) for t in raw_texts(batch, text_col)]
+        return pa.RecordBatch.from_arrays([pa.array(_digests(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
+
+    return map_texts(docs.select(text_col), run, "node long, hashes binary", text_col)
+
+
+def sketches_of(sets: list[np.ndarray]) -> np.ndarray:
+    made = [bytes(2 * BINS)] * len(sets)
+    full = [i for i, x in enumerate(sets) if len(x)]
+    if full:
+        _sketch(np.concatenate([sets[i] for i in full]), full, np.array([len(sets[i]) for i in full]), made)
+    return np.stack([np.frombuffer(x, np.uint16) for x in made])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated similarity of two shingle sets."""
+    x, y = sketches_of([a, b])
+    return float(sketch_share(x, y))
+
+
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b, hashes_a, hashes_b), those of that similarity."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("hashes_a", "hashes_b"))
+            fit = [jaccard(x, y) >= similarity for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    return pairs.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+
+
+def _forest(similarity: float):
+    """For one block pair of a bucket: a spanning forest of the links between its sets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        x = pdf["node"].to_numpy(np.int64)
+        sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+        sketches, label, out = sketches_of(sets), np.arange(len(x)), []
+        for i in range(len(x) - 1):
+            apart = i + 1 + np.nonzero(label[i + 1 :] != label[i])[0]
+            for j in apart[sketch_share(sketches[apart], sketches[i]) >= LOOSE].tolist():
+                if label[i] != label[j] and jaccard(sets[i], sets[j]) >= similarity:
+                    label[label == label[j]] = label[i]
+                    out.append((x[i], x[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links between shingle sets (node, rep, n, bands) that meet in a band and have that similarity.
+
+    As in `links`, crowded buckets are dealt in pairs of blocks and give a
+    spanning forest.
+    """
+    keyed = distinct.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = settle(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    met = settle(keyed.join(sizes, ["band", "key"]))
+    asked = distinct.join(met.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias(id_col))
+    sets = settle(shingle_sets(docs.join(asked, id_col, "left_semi"), words, text_col).dropDuplicates(["node"]))
+    usual = met.where(F.col("members") <= BAND_BUCKET)
+    a = usual.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"))
+    b = usual.select("band", "key", F.col("node").alias("b"), F.col("n").alias("nb"))
+    sized = (F.col("a") < F.col("b")) & (F.least("na", "nb") / F.greatest("na", "nb") >= similarity)
+    pairs = a.join(b, ["band", "key"]).where(sized).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = (
+        met.where(F.col("members") > BAND_BUCKET)
+        .withColumn("x", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("node", "band", "key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        .join(sets, "node")
+    )
+    large = dealt.groupBy("band", "key", "x", "y").applyInPandas(_forest(similarity), "a long, b long")
+    return _alike(both, similarity).unionAll(large).distinct()
+
+
+def filtered(docs: DataFrame, words: int = FILTER_WORDS, similarity: float = FILTER_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, in all their columns, with the smallest id of their component; one row for each id.
+
+    Links are those of `similarity` in shingles. Fingerprints of such pairs
+    differ in about 10 bits at 0.8, too many for a pigeonhole that still tells
+    texts apart, so candidates meet in bands of minima instead.
+    """
+    nodes = settle(shingle_nodes(docs, words, id_col, text_col))
+    distinct = settle(nodes.groupBy("node").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    labels = components(similar_links(docs, distinct, words, similarity, id_col, text_col))
+    named = distinct.join(labels, "node", "left").select("rep", F.coalesce("label", "node").alias("label"))
+    stay = named.groupBy("label").agg(F.min("rep").alias(id_col)).select(id_col).distinct()
     return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
 
 

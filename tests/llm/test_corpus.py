@@ -124,6 +124,23 @@ def test_simhash(documents, empty):
     assert simhash.filtered(docs.unionAll(docs)).count() == kept.count()
 
 
+def tails(rng, n, changed, pairs):
+    """Pairs of texts with n 5-word shingles each, of which the last `changed` differ."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    out = []
+    for _ in range(pairs):
+        own = [word() for _ in range(n + 4)]
+        out += [" ".join(own), " ".join(own[:-changed] + [word() for _ in range(changed)])]
+    return out
+
+
+@pytest.mark.parametrize("bucket", [32, 1])
+def test_filter_finds_pairs_beyond_the_fingerprint(documents, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BAND_BUCKET", bucket)
+    texts = tails(random.Random(12), 200, 12, 60)  # similarity 188 / 212
+    assert {r.doc_id for r in simhash.filtered(documents(texts)).collect()} == set(range(0, 120, 2))
+
+
 # 4
 def test_mixing(documents, edges, empty):
     sources = ["a"] * 700 + ["b"] * 200 + ["c"] * 100
