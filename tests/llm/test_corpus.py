@@ -141,6 +141,14 @@ def test_filter_finds_pairs_beyond_the_fingerprint(documents, bucket, monkeypatc
     assert {r.doc_id for r in simhash.filtered(documents(texts)).collect()} == set(range(0, 120, 2))
 
 
+@pytest.mark.parametrize("bucket", [32, 1])
+def test_filter_links_by_exact_similarity(documents, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BAND_BUCKET", bucket)
+    rng = random.Random(13)
+    texts = tails(rng, 180, 20, 40) + tails(rng, 180, 21, 40)  # 160 / 200 links, 159 / 201 does not
+    assert {r.doc_id for r in simhash.filtered(documents(texts)).collect()} == {*range(0, 80, 2), *range(80, 160)}
+
+
 # 4
 def test_mixing(documents, edges, empty):
     sources = ["a"] * 700 + ["b"] * 200 + ["c"] * 100
