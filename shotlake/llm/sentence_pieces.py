@@ -328,10 +328,13 @@ def decode_ids(ids: list[int], decoder: list[bytes]) -> bytes:
 _CODERS: dict[int, Coder] = {}
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """(id_col, n_pieces, ids, decoded_sha256): the pieces of each whole text, and a digest of what they decode to."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, carried: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
+    """(id_col, n_pieces, ids, decoded_sha256, carried): the pieces of each whole text, and a digest of what they decode to.
+
+    counted: the texts whose frequent words are encoded beforehand, by default docs.
+    """
     pieces = load(model)
-    coded = encode_words(frequent_words(docs, text_col), pieces).toPandas().sort_values("word")
+    coded = encode_words(frequent_words(docs if counted is None else counted, text_col), pieces).toPandas().sort_values("word")
     words = coded["word"].tolist()
     sizes = np.array([len(x) for x in coded["ids"]], np.int64)
     flat = np.concatenate([np.asarray(x, np.int32) for x in coded["ids"]]) if words else np.zeros(0, np.int32)
@@ -348,10 +351,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         offsets = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
         digest = pa.array([hashlib.sha256(decode_ids(x.tolist(), decoder)).hexdigest() for x in ids])
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(offsets).astype(np.int64)), lists, digest], [id_col, "n_pieces", "ids", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(offsets).astype(np.int64)), lists, digest, *[batch.column(c) for c in carried]], [id_col, "n_pieces", "ids", "decoded_sha256", *carried])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_pieces long, ids array<int>, decoded_sha256 string", text_col)
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return map_texts(docs.select(id_col, text_col, *carried), run, f"{id_col} {kind}, n_pieces long, ids array<int>, decoded_sha256 string{more}", text_col)
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:

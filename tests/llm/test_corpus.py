@@ -362,3 +362,13 @@ def test_pipeline(spark, tmp_path):
         assert {r.doc_id for r in after.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
         docs = spark.createDataFrame(after.toPandas(), docs.schema)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count() > 100
+
+
+def test_pieces_keep_the_schedule(documents):
+    import corpus_pipeline
+
+    docs = documents([f"text {i}" for i in range(300)], sources=["a"] * 240 + ["b"] * 60)
+    want = {r.doc_id: r.mix_position for r in mixing.mix(docs).collect()}
+    got = corpus_pipeline.pieces(None, docs.repartition(7, "text"), "").collect()
+    assert {r.doc_id: r.mix_position for r in got} == want and sorted(want.values()) == list(range(300))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.mix_position)] != list(range(300))
