@@ -30,21 +30,21 @@ SYMBOL_SHARE = 100
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) from the nearest language reference.
 MAX_CHAR_DISTANCE, MAX_MARK_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.30, 0.80
 
-#: Character classes that are counted; what is left, mostly lower-case letters, is the first class.
+#: Character classes that are counted; what is left, the lower-case letters, is the first class.
 CLASSES = {
-    "upper": r"[A-Z]",
-    "digit": r"[0-9]",
+    "upper": r"\p{Lu}",
+    "digit": r"\p{Nd}",
     "stop": r"[.,;:?'\"-]",
     "symbol": r"[#*$%&|<>!=+/\\@^~_{}\[\]()]",
     "space": SPACE,
-    "other": r"[^\x00-\x7F]",
+    "other": r"[^\p{Ll}\p{Lu}\p{Nd}.,;:?'\"\-#*$%&|<>!=+/\\@^~_{}\[\]()\x20\x09-\x0D]",
 }
 #: Frequent function words of four languages.
 COMMON = (
-    "the of and to in a"  # English
-    " de la le et les des"  # French
-    " der die und den von zu"  # German
-    " el los las por con para"  # Spanish
+    "the of and to in a is that it for on was be with as"  # English
+    " de la le et les des en un du une que est pour qui dans"  # French
+    " der die und den von zu das mit sich des auf ist im dem nicht"  # German
+    " el los las por con para una su al lo como más pero sus y"  # Spanish
 ).split()
 WORDS = list(dict.fromkeys(COMMON))
 
@@ -84,8 +84,10 @@ def duplicate_lines(text: Column) -> Column:
 def word_histogram(words: Column) -> Column:
     """Counts of each of WORDS, then of all other words."""
     known = F.split(F.lit(" ".join(WORDS)), " ")
-    hits = F.filter(F.transform(words, lambda w: F.array_position(known, w).cast("int")), lambda p: p > 0)
-    count = lambda h: F.transform(F.sequence(F.lit(1), F.lit(len(WORDS))), lambda k: F.size(F.filter(h, lambda p: p == k)))
+    # no lambda for each word and count: short words are looked up once, and a count is what its removal takes away
+    short = F.filter(words, lambda w: F.length(w) <= max(map(len, WORDS)))
+    hits = F.array_remove(F.transform(short, lambda w: F.array_position(known, w).cast("int")), 0)
+    count = lambda h: F.array(*[F.size(h) - F.size(F.array_remove(h, k)) for k in range(1, len(WORDS) + 1)])
     return let(hits, lambda h: F.concat(count(h), F.array(F.size(words) - F.size(h))))
 
 

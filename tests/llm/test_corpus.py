@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -250,6 +251,16 @@ def test_quality(documents, empty):
     assert quality.assess(empty).count() == 0 and quality.filtered(empty).columns == empty.columns
 
 
+def test_quality_counts_all_classes_and_words(documents):
+    text = "Été ÀÉ 9٣ Ωß, das — más was nicht was una su xyzzyxyzzy Was"
+    row = quality.measures(documents([text])).first()
+    words = text.split()
+    kinds = [sum(unicodedata.category(c) == k for c in text) for k in ("Ll", "Lu", "Nd")]
+    assert row.classes == [*kinds, 1, 0, len(words) - 1, 1]
+    assert row.commons[:-1] == [words.count(w) for w in quality.WORDS] and row.commons[-1] == len(words) - 7
+    assert {"is", "that", "was", "mit", "nicht", "una", "pero"} <= set(quality.WORDS)
+
+
 # 8
 def test_flac_round_trip(documents, empty):
     docs = documents([*EDGES, "ab" * 6000, "".join(chr(random.Random(1).randrange(32, 900)) for _ in range(3000))])
