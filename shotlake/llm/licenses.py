@@ -1,9 +1,10 @@
 """Licence scans by a positional index of rare tokens.
 
 Document frequencies of the licence vocabulary are counted over all documents.
-A text looks up its licence words of highest inverse document frequency; each
-place of such a word and each posting of a template vote for the offset at
-which the template would start, so postings meet by relative position. At the
+For each template whose key phrases may stand in it, a text looks up the
+template's words of highest inverse document frequency, as many as no match can
+lack; each place of such a word and its postings vote for the offset at which
+the template would start, so postings meet by relative position. At the
 best offsets the template's mandatory key phrases are verified and the share
 of its words that stand in place is the score. Base phrases are searched for
 in every text apart from that, and their labels stay.
@@ -50,8 +51,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work cc0", ["waived all copyright and related"]),
 ]
-#: Distinct licence words that a text looks up, and the share of a template that must stand in place.
-LOOKUPS = 8
+#: Share of a template that must stand in place.
 MIN_SHARE = 0.6
 
 
@@ -82,19 +82,26 @@ class Index:
 
     def scan(self, words: list[bytes], present: set[bytes], idf: dict[bytes, float]) -> list[tuple[str, int, float]]:
         """(label, start, share) of the templates found."""
-        known = present & self.vocabulary
-        best = sorted(known, key=lambda w: (-idf.get(w, 0.0), w))[:LOOKUPS]
-        if len(best) < 2:
-            return []
         votes: Counter = Counter()
-        for w in best:
-            for p in _places(words, w):
-                for t, q in self.postings[w]:
-                    votes[t, p - q] += 1
+        places: dict[bytes, list[int]] = {}
+        for t, (_, wording, keys) in enumerate(self.templates):
+            if not all(present.issuperset(k) for k in keys):
+                continue
+            # words that the text lacks cost nothing; of more places than may miss, two at least vote for a true offset
+            left = _most_misses(len(wording)) + 2
+            for w in sorted(set(wording), key=lambda w: (w in present, -idf.get(w, 0.0), w)):
+                own = [q for u, q in self.postings[w] if u == t]
+                if w in present:
+                    if w not in places:
+                        places[w] = _places(words, w)
+                    votes.update((t, p - q) for p in places[w] for q in own)
+                left -= len(own)
+                if left <= 0:
+                    break
         found: dict[str, tuple[float, int]] = {}
         for (t, start), n in votes.items():
             label, wording, keys = self.templates[t]
-            if n < 2 or not all(present.issuperset(k) for k in keys):
+            if n < 2:
                 continue
             share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(wording)) / len(wording)
             here = words[max(0, start - 3) : start + len(wording) + 3]
@@ -103,6 +110,11 @@ class Index:
         return [(label, -at, share) for label, (share, at) in sorted(found.items())]
 
 
+def _most_misses(n: int) -> int:
+    """How many of n words may stand out of place."""
+    return max(m for m in range(n + 1) if (n - m) / n >= MIN_SHARE)
+
+
 def _places(words: list[bytes], word: bytes) -> list[int]:
     out, at = [], -1
     try:

@@ -226,6 +226,17 @@ def test_licences(documents, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licences_of_several_notices(documents):
+    long = {label: wording for label, wording, _ in licenses.TEMPLATES}
+    mit, apache, gpl, nc = licenses.TEMPLATES[1][1], licenses.TEMPLATES[2][1], long["gpl-3.0"], long["cc-by-nc"]
+    fill = " person charge deal forms copyright redistribution attribution unencumbered mozilla affero lesser "
+    texts = [mit + " x " + apache, " x ".join([mit, gpl, apache]), " x ".join([apache, nc, long["mit"], licenses.TEMPLATES[0][1]]), fill * 50 + apache, "\n\n".join(w for _, w, _ in licenses.TEMPLATES)]
+    got = rows_by_id(licenses.scan(documents(texts)))
+    found = [{x.split(":")[0] for x in got[i].found.split(",")} for i in range(5)]
+    assert found[0] == {"mit", "apache-2.0"} and found[1] >= {"mit", "gpl-3.0", "apache-2.0"} and found[2] >= {"mit", "apache-2.0", "cc-by-nc"}
+    assert found[3] == {"apache-2.0"} and found[4] == {label for label, _, _ in licenses.TEMPLATES}
+
+
 # 7
 def test_quality(documents, empty):
     rng = random.Random(8)
