@@ -11,7 +11,8 @@ don't give pairs: their lines are dealt in blocks to a semi-join that verifies
 within the join, so each line comes out at most once for a block.
 
 Null and empty texts have no line that can go. Lines shorter than MIN_CHARS
-stay. Rows that share an id count as one place: equal lines of equal number
+have no segments to join by: from `shortest` characters on they go if an equal
+line stands earlier, and blank ones stay. Rows that share an id count as one place: equal lines of equal number
 both stay. An empty table gives an empty result.
 """
 
@@ -24,6 +25,8 @@ from .common import let, table, written
 
 TAU = 2
 MIN_CHARS = 24
+#: Least characters of a line that goes if an equal one precedes it, in the query and the pipeline.
+SHORTEST = 1
 BUCKET = 24
 BLOCK = 256
 #: Candidate lines up to which their ids are broadcast to find their texts; beyond, a shuffled join.
@@ -109,15 +112,21 @@ def probe_keys(line: Column, n: Column, tau: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _judged(line: Column, shortest: int) -> Column:
+    """Whether a line can go: long ones, and shorter ones that aren't blank."""
+    n = F.length(line)
+    return (n >= MIN_CHARS) | ((n >= shortest) & line.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    return lines.where(F.length("line") >= MIN_CHARS)
+    return lines.where(_judged(F.col("line"), shortest))
 
 
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = MIN_CHARS) -> DataFrame:
     """(id, line, n, first): each distinct line with its length and earliest place (document and number in one decimal)."""
     place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("no")
-    whole = _lines(docs, id_col, text_col).select("line", place.cast("decimal(38,0)").alias("place"))
+    whole = _lines(docs, id_col, text_col, shortest).select("line", place.cast("decimal(38,0)").alias("place"))
     return whole.groupBy("line").agg(F.min("place").alias("first")).select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), "line", F.length("line").alias("n"), "first")
 
 
@@ -162,10 +171,10 @@ def _hot(met: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     return later.unionAll(other)
 
 
-def kept_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, kept): the numbers of the lines of at least MIN_CHARS that stay, for documents with any."""
-    lines = written(distinct_lines(docs, id_col, text_col))
-    gone = written(near_earlier(lines, tau).select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")))
+def kept_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", shortest: int = MIN_CHARS) -> DataFrame:
+    """(doc, kept): the numbers of the lines that can go and stay, for documents with any."""
+    lines = written(distinct_lines(docs, id_col, text_col, shortest))
+    gone = written(near_earlier(lines.where(F.col("n") >= MIN_CHARS), tau).select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")))
     stay = lines.select("id", "id2", "first").join(gone, ["id", "id2"], "left_anti")
     unit = F.lit(1 << 32).cast("decimal(12,0)")
     doc = F.floor(F.col("first") / unit)
@@ -173,11 +182,11 @@ def kept_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col
     return placed.groupBy("doc").agg(F.array_sort(F.collect_list("no")).alias("kept"))
 
 
-def dedup(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", shortest: int = MIN_CHARS) -> DataFrame:
     """docs with `text_col` rid of repeated lines; a null text stays null, a text without remaining lines is empty."""
-    kept = kept_lines(docs, tau, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("kept", "_kept")
+    kept = kept_lines(docs, tau, id_col, text_col, shortest).withColumnRenamed("doc", "_doc").withColumnRenamed("kept", "_kept")
     joined = docs.join(kept, F.col(id_col) == F.col("_doc"), "left")
-    stays = lambda x, i: (F.length(x) < MIN_CHARS) | F.array_contains(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), i)
+    stays = lambda x, i: ~_judged(x, shortest) | F.array_contains(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), i)
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), stays), "\n")
     return joined.select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
@@ -185,8 +194,8 @@ def dedup(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     parts = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    long = let(parts, lambda p: F.filter(F.transform(p, lambda x, i: F.when(F.length(x) >= MIN_CHARS, i)), lambda i: i.isNotNull()))
-    sized = docs.select("doc_id", F.size(parts).cast("long").alias("n_lines"), long.alias("long"))
-    joined = sized.join(kept_lines(docs).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    removed = F.array_except("long", F.coalesce("kept", F.array().cast("array<int>")))
+    judged = let(parts, lambda p: F.filter(F.transform(p, lambda x, i: F.when(_judged(x, SHORTEST), i)), lambda i: i.isNotNull()))
+    sized = docs.select("doc_id", F.size(parts).cast("long").alias("n_lines"), judged.alias("judged"))
+    joined = sized.join(kept_lines(docs, shortest=SHORTEST).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    removed = F.array_except("judged", F.coalesce("kept", F.array().cast("array<int>")))
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))

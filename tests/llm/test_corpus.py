@@ -353,6 +353,18 @@ def test_line_dedup(documents, empty, bucket, monkeypatch):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_short_lines_that_repeat_go(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    texts = ["All rights reserved.\n\na\nAll rights reserved.", "\n \na\nb\nAll rights reserved!", "a", None]
+    docs = documents(texts)
+    got = rows_by_id(corpus_pipeline.line_repeats(spark, docs, ""))
+    assert [got[i].text for i in range(4)] == ["All rights reserved.\n\na", "\n \nb\nAll rights reserved!", "", None]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = rows_by_id(line_dedup.op9(spark, str(tmp_path)))
+    assert [(found[i].n_lines, found[i].n_removed, found[i].removed_lines) for i in range(4)] == [(4, 1, "3"), (5, 1, "2"), (1, 1, "0"), (1, 0, "")]
+
+
 # 10
 def test_language(spark, empty):
     rng = random.Random(11)
