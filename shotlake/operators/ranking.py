@@ -6,6 +6,8 @@ columns; ties are broken by those columns and never by arrival.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,19 @@ def numbered(rows: DataFrame, by: list[str], *order: Column, name: str = "rank",
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """Exact inner-product search: queries (query_id, qvec), index (id, vec) -> (query_id, id, score, rank).
 
-    A stated set of queries is broadcast against the partitioned index after
-    its size is checked; larger sets must come in batches. Only k rows a query
-    and partition are exchanged.
+    Queries are broadcast against the partitioned index. A set of more than
+    MOST_QUERIES is dealt into blocks of about half that many, by a hash of the
+    query, which are searched one after the other. Only k rows a query and
+    partition are exchanged.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"search at most {MOST_QUERIES} queries at once")
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return _search(queries, index, k, digits)
+    blocks = -(-2 * queries.count() // MOST_QUERIES)
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return reduce(DataFrame.unionAll, [_search(dealt.where(F.col("_block") == i).drop("_block"), index, k, digits) for i in range(blocks)])
+
+
+def _search(queries: DataFrame, index: DataFrame, k: int, digits: int) -> DataFrame:
     one = F.broadcast(queries.withColumn("_one", F.lit(1)))
     scored = index.withColumn("_one", F.lit(1)).join(one, "_one").select("query_id", "id", F.round(dot(F.col("qvec"), F.col("vec")), digits).alias("score"))
     return numbered(scored, ["query_id"], F.desc("score"), F.col("id"), most=k)

@@ -172,3 +172,13 @@ def test_session_stream(spark, tmp_path):
     assert {r.session_id: (r.stack, r.version) for r in seen} == {"s": (["a; b", "c"], 3), "t": ([], 1)}
     batch = S.folded(spark.read.schema(kind).parquet(source), 2).collect()
     assert {r.session_id: (r.stack, r.version) for r in batch} == {"s": (["a; b", "c"], 3), "t": ([], 1)}
+
+
+def test_search_of_many_queries(spark, monkeypatch):
+    from shotlake.operators import ranking
+
+    index = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "id int, vec array<double>")
+    queries = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(23)], "query_id int, qvec array<double>")
+    whole = sorted(map(tuple, ranking.dense_top_k(queries, index, 4).collect()))
+    monkeypatch.setattr(ranking, "MOST_QUERIES", 8)
+    assert sorted(map(tuple, ranking.dense_top_k(queries, index, 4).collect())) == whole and len(whole) == 92
