@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,6 +51,16 @@ def nfc_casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).casefold())
 
 
+@F.pandas_udf(StringType())
+def nfc(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+
+@F.pandas_udf(StringType())
+def casefold(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else s.casefold())
+
+
 @F.pandas_udf(StringType())
 def fold_diacritics(x: pd.Series) -> pd.Series:
     """Without combining marks; the stroked D has no decomposition and is replaced first."""
@@ -63,45 +74,103 @@ def fold_diacritics(x: pd.Series) -> pd.Series:
     return x.map(fold)
 
 
-#: Number words and colours of answers.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
-COLOURS = {"grey": "gray", "crimson": "red", "scarlet": "red", "navy": "blue", "azure": "blue", "violet": "purple", "golden": "yellow"}
-UNITS = ("kilometers", "percent", "people", "persons", "times", "km", "%", "m")
+class AnswerRules(NamedTuple):
+    """What a language's answers need: number words of one digit, the words for ten and for tens, colours with their variants, and units of each answer type."""
+
+    numbers: dict[str, int] = {}  # noqa: RUF012
+    ten: str = ""
+    tens: str = ""
+    colours: dict[str, list[str]] = {}  # noqa: RUF012
+    units: dict[str, list[str]] = {}  # noqa: RUF012
+
+
+#: Digits only, for a language without settings of its own.
+PLAIN_RULES = AnswerRules()
+#: The settings that hold where none are given.
+DEFAULT_RULES = AnswerRules(
+    numbers={"không": 0, "một": 1, "mốt": 1, "hai": 2, "ba": 3, "bốn": 4, "tư": 4, "năm": 5, "lăm": 5, "sáu": 6, "bảy": 7, "bẩy": 7, "tám": 8, "chín": 9},
+    ten="mười",
+    tens="mươi",
+    colours={
+        "đỏ": ["đỏ", "red"],
+        "cam": ["cam", "orange"],
+        "vàng": ["vàng", "yellow"],
+        "lục": ["lục", "xanh lá", "xanh lá cây", "green"],
+        "lam": ["lam", "xanh dương", "xanh lam", "xanh nước biển", "blue"],
+        "tím": ["tím", "purple", "violet"],
+        "trắng": ["trắng", "white"],
+        "đen": ["đen", "black"],
+        "nâu": ["nâu", "brown"],
+        "hồng": ["hồng", "pink"],
+        "xám": ["xám", "grey", "gray"],
+    },
+    units={"number": ["người", "cái", "chiếc", "con", "lần", "%", "phần trăm"]},
+)
+
+
+def folded(word: str) -> str:
+    return unicodedata.normalize("NFC", word).strip().casefold()
 
 
 def _lookup(x: Column, values: dict) -> Column:
-    return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])[x]
-
-
-def parse_number(x: Column) -> Column:
-    """Whole number of digits or of one to two number words up to 99; else null."""
-    words = F.split(F.regexp_replace(F.lower(strip(x)), r"[\s-]+", " "), " ")
-    one = _lookup(F.get(words, F.lit(0)), {w: i for i, w in enumerate(ONES)} | TENS)
-    tens, unit = _lookup(F.get(words, F.lit(0)), TENS), _lookup(F.get(words, F.lit(1)), {w: i for i, w in enumerate(ONES) if 0 < i < 10})
-    return F.when(strip(x).rlike(r"^\d{1,9}$"), strip(x).try_cast("int")).when(F.size(words) == 1, one).when(F.size(words) == 2, tens + unit)
-
-
-def canonical_colour(x: Column) -> Column:
-    return F.coalesce(_lookup(F.lower(strip(x)), COLOURS), F.lower(strip(x)))
-
-
-def without_unit(x: Column) -> Column:
-    """Cut one trailing unit, the longest that fits; an answer that is only a unit stays."""
-    units = "|".join(u.replace("%", "%") for u in sorted(UNITS, key=len, reverse=True))
-    cut = strip(F.regexp_replace(x, rf"(?i)(^|(?<=[\s\d]))({units})\s*$", ""))
-    return F.when(cut == "", x).otherwise(cut)
-
-
-def answer_key(x: Column, kind: Column) -> Column:
-    """The key under which answers of a type are compared."""
-    plain = F.lower(F.regexp_replace(strip(x), r"\s+", " "))
-    number = parse_number(without_unit(plain))
-    return F.when(kind == "number", F.coalesce(number.cast("string"), plain)).when(kind == "color", canonical_colour(plain)).when(kind == "yesno", F.when(plain.isin("yes", "true", "y"), "yes").when(plain.isin("no", "false", "n"), "no").otherwise(plain)).otherwise(plain)
-
-
-def valid_answer(key: Column, kind: Column) -> Column:
-    return F.when(kind == "number", key.rlike(r"^\d+$")).when(kind == "yesno", key.isin("yes", "no")).otherwise(F.length(key) > 0)
+    return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])[x] if values else F.lit(None).cast("int")
+
+
+def parse_number(x: Column, rules: AnswerRules = DEFAULT_RULES) -> Column:
+    """Whole number of signed digits or of one to three number words; null for anything else.
+
+    One word stands for ten or a digit; two for ten and a digit, or two to nine
+    tens; three for tens and a digit.
+    """
+    bare = strip(x)
+    words = F.split(bare, r"(?U)\s+")
+    word = [F.get(words, F.lit(i)) for i in range(3)]
+    digit = [_lookup(w, rules.numbers) for w in word]
+    ten = (word[0] == rules.ten) if rules.ten else F.lit(False)
+    tens = ((word[1] == rules.tens) & digit[0].between(2, 9)) if rules.tens else F.lit(False)
+    two = F.when(ten & digit[1].isNotNull(), 10 + digit[1]).when(tens, digit[0] * 10)
+    three = F.when(tens, digit[0] * 10 + digit[2])
+    spoken = F.when(F.size(words) == 1, F.when(ten, F.lit(10)).otherwise(digit[0])).when(F.size(words) == 2, two).when(F.size(words) == 3, three)
+    return F.when(bare.rlike(r"^-?\d+$"), bare.try_cast("bigint")).otherwise(spoken.cast("bigint"))
+
+
+def canonical_colour(key: Column, rules: AnswerRules = DEFAULT_RULES) -> Column:
+    """The first colour that has the folded key among its variants, else null."""
+    known: dict[str, str] = {}
+    for colour, variants in rules.colours.items():
+        for v in variants:
+            known.setdefault(folded(v), colour)
+    return _lookup(key, known).cast("string")
+
+
+def without_unit(key: Column, kind: Column, rules: AnswerRules = DEFAULT_RULES) -> Column:
+    """Cut one trailing unit of the answer's type from a folded key, the longest that leaves something."""
+    out = None
+    for name, units in rules.units.items():
+        cuts = []
+        for unit in [folded(u) for u in sorted(units, key=len, reverse=True)]:
+            left = strip(F.substring(key, F.lit(1), F.length(key) - len(unit)))
+            cuts.append(F.when((key != unit) & F.endswith(key, F.lit(unit)) & (left != ""), left))
+        if cuts:
+            out = F.when(kind == name, F.coalesce(*cuts)) if out is None else out.when(kind == name, F.coalesce(*cuts))
+    return key if out is None else F.coalesce(out, key)
+
+
+def answer_key_of(folded_answer: Column, kind: Column, rules: AnswerRules = DEFAULT_RULES) -> Column:
+    bare = without_unit(folded_answer, kind, rules)
+    number = parse_number(bare, rules).cast("string")
+    return F.when(folded_answer == "", "").when(kind == "number", F.coalesce(number, bare)).when(kind == "color", F.coalesce(canonical_colour(bare, rules), bare)).otherwise(bare)
+
+
+def answer_key(x: Column, kind: Column, rules: AnswerRules = DEFAULT_RULES) -> Column:
+    """The key under which answers of a type are compared: NFC, stripped and case-folded, then as the type says."""
+    return answer_key_of(nfc_casefold(strip(x)), kind, rules)
+
+
+def valid_answer(key: Column, kind: Column, rules: AnswerRules = DEFAULT_RULES) -> Column:
+    """Whether a key is well formed: a whole number, a known colour, or any other answer that isn't empty."""
+    colours = key.isin(*rules.colours) if rules.colours else F.lit(False)
+    return (key != "") & F.when(kind == "number", key.rlike(r"^-?\d+$")).when(kind == "color", colours).otherwise(True)
 
 
 def sentences(x: Column, most: int) -> Column:

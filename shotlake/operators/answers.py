@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def vote(reads: DataFrame, track_a: DataFrame, bonus: float, confident_at: float, digits: int = 9) -> DataFrame:
+def vote(reads: DataFrame, track_a: DataFrame, bonus: float, confident_at: float, digits: int = 9, rules: T.AnswerRules = T.DEFAULT_RULES) -> DataFrame:
     """reads (question_id, answer, kind, score, ord), track_a (question_id, normalized) -> ranked answer groups.
 
     Groups add their scores; one that the other track also gives gets a bonus
     share. Valid groups come first, then by score and normalised answer.
     """
-    keyed = reads.withColumn("normalized", T.answer_key(F.col("answer"), F.col("kind"))).where(F.col("normalized") != "")
+    keyed = reads.withColumn("normalized", T.answer_key(F.col("answer"), F.col("kind"), rules)).where(F.col("normalized") != "")
     grouped = keyed.groupBy("question_id", "normalized").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("reads"), F.min_by("answer", "ord").alias("answer"), F.first("kind").alias("kind"))
     both = grouped.join(track_a.withColumn("agrees", F.lit(True)), ["question_id", "normalized"], "left").withColumn("agrees", F.coalesce("agrees", F.lit(False)))
-    scored = both.withColumn("score", F.round(F.col("sum") * F.when(F.col("agrees"), 1 + bonus).otherwise(1.0), digits)).withColumn("valid", T.valid_answer(F.col("normalized"), F.col("kind"))).withColumn("confident", F.col("agrees") | (F.col("score") >= confident_at))
+    scored = both.withColumn("score", F.round(F.col("sum") * F.when(F.col("agrees"), 1 + bonus).otherwise(1.0), digits)).withColumn("valid", T.valid_answer(F.col("normalized"), F.col("kind"), rules)).withColumn("confident", F.col("agrees") | (F.col("score") >= confident_at))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("valid"), F.desc("score"), "normalized"))).select("question_id", "normalized", "answer", "reads", "score", "agrees", "valid", "confident", "rank")
 
 
@@ -63,29 +63,33 @@ def count_result(detected: Column, read: Column, margin: int) -> Column:
 
 
 def peakiness(ranked: DataFrame, top: int) -> DataFrame:
-    """(query_id, peak): best score over the median of the first `top`."""
+    """(query_id, peak): best score over the median of the first `top`; 1 where the median isn't positive."""
     agg = ranked.where(F.col("rank") <= top).groupBy("query_id").agg(F.max("score").alias("best"), F.median("score").alias("mid"))
-    return agg.select("query_id", F.when(F.col("mid") > 0, F.col("best") / F.col("mid")).alias("peak"))
+    return agg.select("query_id", F.when(F.col("mid") > 0, F.col("best") / F.col("mid")).otherwise(1.0).alias("peak"))
 
 
 def weak_locator(peak: Column, has_answer: Column, ratio: float) -> Column:
+    """Whether no answer stands by itself, no scores are there, or none stands out."""
     return ~F.coalesce(has_answer, F.lit(False)) | peak.isNull() | (peak < ratio)
 
 
-def double_gate(hits: DataFrame, locator: DataFrame, top: int, concentration: float, least: float) -> DataFrame:
-    """Hypotheses whose first `top` hits are concentrated (or a single one) and whose locator score reaches `least`."""
-    agg = hits.where(F.col("rank") <= top).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.sum("score").alias("total"))
-    return agg.join(locator, "query_id").where(((F.col("n") == 1) | (F.col("best") >= concentration * F.col("total"))) & (F.col("locator") >= least)).select("query_id")
+def double_gate(hits: DataFrame, locator: DataFrame, top: int, ratio: float, least: float) -> DataFrame:
+    """(query_id) of hypotheses with a single hit or a first `top` whose best stands out by `ratio`, and whose locator score reaches `least`."""
+    alone = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    told = alone.join(peakiness(hits, top), "query_id").join(locator, "query_id")
+    return told.where(((F.col("n") == 1) | (F.col("peak") >= ratio)) & (F.col("locator") >= least)).select("query_id")
 
 
 def hint(budget: Column, confident: Column, pending: Column, spent: Column) -> Column:
-    """First rule that holds: out of budget or confident: submit; pending work: wait; else zoom."""
-    return F.when(spent >= budget, "submit").when(confident, "submit").when(pending, "wait").otherwise("zoom")
+    """First rule that holds: budget spent: wait; confident: submit; reads pending: wait; else zoom."""
+    return F.when(spent >= budget, "wait_for_reads").when(confident, "submit_now").when(pending, "wait_for_reads").otherwise("escalate_zoom")
 
 
-def matches(answer: Column, accepted: Column, kind: Column) -> Column:
-    key = T.answer_key(answer, kind)
-    return F.exists(accepted, lambda a: T.answer_key(a, kind) == key)
+def matches(rows: DataFrame, by: list[str], rules: T.AnswerRules = T.DEFAULT_RULES) -> DataFrame:
+    """(by, ok): whether an answer has the key of one that is accepted; rows (by, answer, accepted, kind). No accepted answer, or an empty key, never matches."""
+    told = rows.select(*by, "kind", T.answer_key(F.col("answer"), F.col("kind"), rules).alias("key"), F.explode_outer("accepted").alias("other"))
+    same = (F.col("key") != "") & (F.col("key") == T.answer_key(F.col("other"), F.col("kind"), rules))
+    return told.withColumn("same", F.coalesce(same, F.lit(False))).groupBy(*by).agg(F.bool_or("same").alias("ok"))
 
 
 def seed_hypotheses(rows: DataFrame, top: int) -> DataFrame:

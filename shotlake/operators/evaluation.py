@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .integrity import global_rank
 
 #: Defaults of reports.
 RECALL_AT, TOLERANCE_MS, MISS_RANK, RANK_COST_S = (1, 5, 10, 100), 2000, 200, 1.5
@@ -163,36 +164,30 @@ def fixture_violations(cases: DataFrame, corpus: DataFrame) -> DataFrame:
     return broken.unionByName(twice).unionByName(foreign)
 
 
-def spaced_windows(shots: DataFrame, want: int, per_video: int, seed: str = "0") -> DataFrame:
-    """Up to per_video shots a video that don't overlap, in seeded order, then `want` of them over all."""
-    ordered = shots.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.md5(F.concat(F.lit(seed), F.col("shot_key"))).alias("h"), "shot_key", "start_ms", "end_ms"))).alias("rows"))
-    empty = F.slice("rows", 1, 0)
-    grow = lambda a, r: F.when((F.size(a) >= per_video) | F.exists(a, lambda k: (k["start_ms"] < r["end_ms"]) & (r["start_ms"] < k["end_ms"])), a).otherwise(F.concat(a, F.array(r)))
-    picked = ordered.select("video_id", F.explode(F.aggregate("rows", empty, grow)).alias("r")).select("video_id", "r.*")
-    return picked.orderBy("h", "shot_key").limit(want)
+def sampled_windows(keyframes: DataFrame, want: int, window_ms: int, per_case: int, seed: str = "0") -> DataFrame:
+    """(video_id, t_start_ms, t_end_ms, frames): `want` windows of that width around keyframes (video_id, timestamp_ms, image_path).
+
+    Keyframes are taken in seeded order over all videos; one whose window meets
+    a taken one of its video is passed over. A window shows `per_case` of the
+    keyframes in it, evenly spaced. Fewer come out where no more fit.
+    """
+    half = window_ms // 2
+    h = F.md5(F.concat_ws("|", F.lit(seed), "video_id", F.col("timestamp_ms").cast("string"), "image_path"))
+    start = F.greatest(F.lit(0), F.col("timestamp_ms") - half).cast("bigint")
+    rows = keyframes.select("video_id", h.alias("h"), start.alias("s"))
+    ordered = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("h", "s"))).alias("rows"))
+    meets = lambda k, r: (k["s"] < r["s"] + window_ms) & (r["s"] < k["s"] + window_ms)
+    grow = lambda a, r: F.when(F.exists(a, lambda k: meets(k, r)), a).otherwise(F.concat(a, F.array(r)))
+    taken = ordered.select("video_id", F.explode(F.aggregate("rows", F.slice("rows", 1, 0), grow)).alias("r")).select("video_id", "r.h", "r.s")
+    picked = taken.orderBy("h", "video_id").limit(want)
+    inside = keyframes.join(picked, "video_id").where((F.col("timestamp_ms") >= F.col("s")) & (F.col("timestamp_ms") <= F.col("s") + window_ms))
+    listed = inside.groupBy("video_id", "h", "s").agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "image_path"))).alias("all"))
+    shown = F.least(F.lit(per_case), F.size("all"))
+    frames = F.transform(F.sequence(F.lit(0), shown - 1), lambda i: F.get(F.col("all"), F.floor(i * (F.size("all") / shown)).cast("int"))["image_path"])
+    return listed.select("video_id", F.col("s").alias("t_start_ms"), (F.col("s") + window_ms).alias("t_end_ms"), frames.alias("frames"))
 
 
 def round_robin(rows: DataFrame, modes: list[str], *order: str) -> DataFrame:
-    """Modes dealt in turn over the rows in order; for report-sized tables."""
-    i = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1) % len(modes)
-    return rows.withColumn("mode", F.get(F.array(*[F.lit(m) for m in modes]), i))
-
-
-def broken_videos(videos: DataFrame, shots: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """(video_id, reason): failed, duplicated, or with other shot or keyframe counts than reported."""
-    failed = videos.where("status = 'failed'").select("video_id", F.lit("failed").alias("reason"))
-    twice = videos.groupBy("video_id").count().where("count > 1").select("video_id", F.lit("duplicated").alias("reason"))
-    have = videos.where("status = 'done'").join(shots.groupBy("video_id").agg(F.count(F.lit(1)).alias("s")), "video_id", "left").join(keyframes.groupBy("video_id").agg(F.count(F.lit(1)).alias("k")), "video_id", "left")
-    partial = have.where((F.coalesce("s", F.lit(0)) != F.col("n_shots")) | (F.coalesce("k", F.lit(0)) != F.col("n_keyframes"))).select("video_id", F.lit("partial").alias("reason"))
-    return failed.unionByName(twice).unionByName(partial).distinct()
-
-
-def repaired(tables: dict[str, tuple[DataFrame, str]], broken: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Each table (rows, parent key column) without rows of broken videos, and (table, dropped) counts."""
-    ids = broken.select("video_id").distinct()
-    out, stats = {}, None
-    for name, (rows, _) in tables.items():
-        out[name] = rows.join(ids, "video_id", "left_anti")
-        one = rows.join(ids, "video_id", "left_semi").agg(F.count(F.lit(1)).alias("dropped")).select(F.lit(name).alias("table"), "dropped")
-        stats = one if stats is None else stats.unionByName(one)
-    return out, stats
+    """Modes dealt in turn over the rows in order."""
+    placed = global_rank(rows, *order, name="_place")
+    return placed.withColumn("mode", F.get(F.array(*[F.lit(m) for m in modes]), ((F.col("_place") - 1) % len(modes)).cast("int"))).drop("_place")

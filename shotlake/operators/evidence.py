@@ -41,11 +41,17 @@ def merge_lines(lines: DataFrame, by: list[str]) -> DataFrame:
 
 
 def split_overlay(lines: DataFrame, shots_of_video: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """(scene lines, overlay lines): a text in at least `share` of its video's shots is overlay, once a video, by its most confident line."""
-    shares = lines.groupBy("video_id", "text").agg(F.count_distinct("shot_id").alias("n"), F.max("confidence").alias("confidence"))
-    over = shares.join(shots_of_video, "video_id").where(F.col("n") >= share * F.col("n_shots"))
-    scene = lines.join(over.select("video_id", "text"), ["video_id", "text"], "left_anti")
-    return scene, over.select("video_id", "text", "confidence")
+    """(scene lines, overlay lines): a text, stripped and in NFC, in at least `share` of its video's shots is overlay, once a video, by its most confident line.
+
+    Of equally confident lines the first by (shot_id, line_ord) stands for the
+    text. Overlay lines are (video_id, key, text, confidence).
+    """
+    keyed = lines.withColumn("key", T.nfc_strip("text"))
+    order = F.struct(-F.col("confidence"), F.col("shot_id"), F.col("line_ord"))
+    shares = keyed.groupBy("video_id", "key").agg(F.count_distinct("shot_id").alias("n"), F.min_by(F.struct("text", "confidence"), order).alias("best"))
+    over = shares.join(shots_of_video, "video_id").where((F.col("n_shots") > 0) & (F.col("n") / F.col("n_shots") >= share))
+    scene = keyed.join(over.select("video_id", "key"), ["video_id", "key"], "left_anti").select(*lines.columns)
+    return scene, over.select("video_id", "key", "best.text", "best.confidence")
 
 
 def assemble(shots: DataFrame, speech: DataFrame, lines: DataFrame, captions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -107,13 +113,30 @@ def ledger(chronicle: DataFrame, counts: DataFrame, floor: float) -> DataFrame:
 
 
 def ledger_answer(archetype: Column) -> Column:
-    """struct(answer, field): the archetype's field first, else the first field with a value."""
-    first = lambda n: F.get(F.col(n), F.lit(0))
-    fields = {"screen_text": first("screen_text"), "spoken_entities": first("spoken_entities"), "people_count": F.col("people_count").cast("string"), "salient_objects": first("salient_objects")}
-    own = {"read_text": "screen_text", "entity": "spoken_entities", "count": "people_count", "object": "salient_objects"}
-    pick = lambda n: F.when(fields[n].isNotNull(), F.struct(fields[n].alias("answer"), F.lit(n).alias("field")))
-    asked = F.coalesce(*[F.when(archetype == a, pick(n)) for a, n in own.items()])
-    return F.coalesce(asked, *[pick(n) for n in fields])
+    """struct(answer, field, value): the first value of the archetype's own field is the answer; else the first field with a value only shows where one may be. Null without any."""
+    first = {n: F.get(F.col(n), F.lit(0)) for n in ("screen_text", "spoken_entities")}
+    own = {"read_text": "screen_text", "entity": "spoken_entities"}
+    told = lambda n, is_answer: F.when(first[n].isNotNull(), F.struct((first[n] if is_answer else F.lit(None).cast("string")).alias("answer"), F.lit(n).alias("field"), first[n].alias("value")))
+    return F.coalesce(*[F.when(archetype == a, told(n, True)) for a, n in own.items()], *[told(n, False) for n in first])
+
+
+def phrase_documents(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, id) of the documents (id, text) that hold a phrase (query_id, phrase) as it stands.
+
+    A phrase is looked up by the rarest of its inner words, which must be whole
+    words of any text that holds it; what is found is verified. Phrases without
+    an inner word meet all texts.
+    """
+    words = lambda x: F.split(F.lower(x), r"[^\p{L}]+")
+    inner = F.filter(words(F.col("phrase")), lambda w, i: (i > 0) & (i < F.size(words(F.col("phrase"))) - 1) & (w != ""))
+    asked = phrases.select("query_id", "phrase", F.array_distinct(inner).alias("inner"))
+    named = asked.select("query_id", "phrase", F.explode("inner").alias("term"))
+    terms = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(named.select("term").distinct(), "term", "left_semi")
+    held = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = named.join(held, "term", "left").groupBy("query_id", "phrase").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    found = rarest.join(terms, "term").join(docs, "id").where(F.contains("text", "phrase")).select("query_id", "id")
+    short = asked.where(F.size("inner") == 0).select("query_id", "phrase")
+    return found.unionByName(docs.join(short, F.contains("text", "phrase")).select("query_id", "id"))
 
 
 def evidence_window(anchors: DataFrame, meta: DataFrame, zoom_ms: int, most: int) -> DataFrame:

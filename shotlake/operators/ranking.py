@@ -6,10 +6,17 @@ columns; ties are broken by those columns and never by arrival.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions import text as T
 
 #: Fusion defaults.
 RRF_K, WINDOW_MS, AGREEMENT, PRIOR, ORDER_BONUS = 60, 10_000, 0.25, 0.5, 0.0
@@ -42,22 +49,51 @@ def numbered(rows: DataFrame, by: list[str], *order: Column, name: str = "rank",
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """Exact inner-product search: queries (query_id, qvec), index (id, vec) -> (query_id, id, score, rank).
 
-    Queries are broadcast against the partitioned index. A set of more than
-    MOST_QUERIES is dealt into blocks of about half that many, by a hash of the
-    query, which are searched one after the other. Only k rows a query and
-    partition are exchanged.
+    Queries are broadcast against the partitioned index, in blocks of at most
+    MOST_QUERIES (a stated query set against all rows); each Arrow batch is one
+    matrix product, and only k rows a query and partition are exchanged. Equal
+    scores are ordered by id. Vectors of another length than the queries have
+    no score.
     """
-    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
-        return _search(queries, index, k, digits)
-    blocks = -(-2 * queries.count() // MOST_QUERIES)
+    n = queries.count()
+    blocks = max(1, -(-2 * n // MOST_QUERIES)) if n > MOST_QUERIES else 1
+    if blocks == 1:
+        return numbered(_scored(queries, index, k, digits), ["query_id"], F.desc("score"), F.col("id"), most=k)
     dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return reduce(DataFrame.unionAll, [_search(dealt.where(F.col("_block") == i).drop("_block"), index, k, digits) for i in range(blocks)])
-
-
-def _search(queries: DataFrame, index: DataFrame, k: int, digits: int) -> DataFrame:
-    one = F.broadcast(queries.withColumn("_one", F.lit(1)))
-    scored = index.withColumn("_one", F.lit(1)).join(one, "_one").select("query_id", "id", F.round(dot(F.col("qvec"), F.col("vec")), digits).alias("score"))
-    return numbered(scored, ["query_id"], F.desc("score"), F.col("id"), most=k)
+    parts = [_scored(dealt.where(F.col("_block") == i).drop("_block"), index, k, digits) for i in range(blocks)]
+    return numbered(reduce(DataFrame.unionAll, parts), ["query_id"], F.desc("score"), F.col("id"), most=k)
+
+
+def _scored(queries: DataFrame, index: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, id, score): for each partition of the index the k best rows of each query."""
+    asked = queries.select("query_id", "qvec").toArrow()
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double"
+    names = asked.column("query_id").combine_chunks()
+    vectors = asked.column("qvec").to_pylist()
+    dims = sorted({len(v) for v in vectors if v is not None})
+    sides = [(np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == dim]), dim) for dim in dims]
+    sides = [(at, np.array([vectors[i] for i in at], np.float64)) for at, _ in sides]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list] = [[] for _ in vectors]
+        for batch in batches:
+            ids, rows = batch.column("id").to_pylist(), batch.column("vec").to_pylist()
+            for at, matrix in sides:
+                fit = [i for i, v in enumerate(rows) if v is not None and len(v) == matrix.shape[1]]
+                if not fit:
+                    continue
+                scores = np.round(matrix @ np.array([rows[i] for i in fit], np.float64).T, digits) + 0.0
+                least = np.partition(scores, len(fit) - k, axis=1)[:, len(fit) - k] if k < len(fit) else np.full(len(at), -np.inf)
+                for q, own, low in zip(at.tolist(), scores, least, strict=True):
+                    best[q] += [(-own[j], ids[fit[j]]) for j in np.nonzero(own >= low)[0].tolist()]
+                    if len(best[q]) > 4 * k:
+                        best[q] = heapq.nsmallest(k, best[q])
+        found = [(q, heapq.nsmallest(k, b)) for q, b in enumerate(best)]
+        of = pa.array([q for q, b in found for _ in b], pa.int64())
+        yield pa.RecordBatch.from_arrays([names.take(of), pa.array([i for _, b in found for _, i in b], types["id"]), pa.array([-s for _, b in found for s, _ in b], pa.float64())], ["query_id", "id", "score"])
+
+    types = {"id": to_arrow_type(index.schema["id"].dataType)}
+    return index.select("id", "vec").mapInArrow(run, kinds)
 
 
 def best_per_shot(ranked: DataFrame, meta: DataFrame, k: int) -> DataFrame:
@@ -83,6 +119,11 @@ def sparse_top_k(queries: DataFrame, postings: DataFrame, k: int, digits: int =
     return numbered(scored, ["query_id"], F.desc("score"), F.col("ord"), most=k).select("query_id", "id", "score", "rank")
 
 
+def _by(weights: DataFrame) -> list[str]:
+    """Weights hold for a label, or for that of one query where they name it."""
+    return ["query_id", "label"] if "query_id" in weights.columns else ["label"]
+
+
 def rrf(rankings: DataFrame, weights: DataFrame, k: int = RRF_K, digits: int = 9) -> DataFrame:
     """Weighted reciprocal-rank fusion.
 
@@ -92,7 +133,7 @@ def rrf(rankings: DataFrame, weights: DataFrame, k: int = RRF_K, digits: int = 9
     that gives one, the first of equals. -> (query_id, shot_key, score, timestamp_ms, rank)
     """
     stamped = rankings if "timestamp_ms" in rankings.columns else rankings.withColumn("timestamp_ms", F.lit(None).cast("bigint"))
-    weighed = stamped.join(weights, "label")
+    weighed = stamped.join(weights, _by(weights))
     best = F.when(F.col("timestamp_ms").isNotNull(), F.struct("weight", -F.col("label_ord"), -F.col("rank")))
     fused = weighed.groupBy("query_id", "shot_key").agg(F.round(F.sum(F.col("weight") / (F.lit(float(k)) + F.col("rank"))), digits).alias("score"), F.max_by("timestamp_ms", best).alias("timestamp_ms"))
     return numbered(fused, ["query_id"], F.desc("score"), F.col("shot_key"))
@@ -110,7 +151,7 @@ def fuse_windows(rankings: DataFrame, weights: DataFrame, meta: DataFrame, windo
     video_id, prior); label_order (label, pos).
     -> (query_id, shot_key, score, in_window, rank)
     """
-    parts = rankings.join(weights, "label").groupBy("query_id", "shot_key", "label").agg(F.sum(F.col("weight") / (F.lit(float(k)) + F.col("rank"))).alias("con"))
+    parts = rankings.join(weights, _by(weights)).groupBy("query_id", "shot_key", "label").agg(F.sum(F.col("weight") / (F.lit(float(k)) + F.col("rank"))).alias("con"))
     base = parts.groupBy("query_id", "shot_key").agg(F.round(F.sum("con"), digits).alias("base"))
     if window_ms <= 0:
         plain = base.select("query_id", "shot_key", F.col("base").alias("score"), F.lit(False).alias("in_window"))
@@ -126,7 +167,7 @@ def fuse_windows(rankings: DataFrame, weights: DataFrame, meta: DataFrame, windo
     labels = inside.join(parts, ["query_id", "shot_key"]).withColumn("con", F.round("con", 12))
     best = labels.groupBy("query_id", "head", "label").agg(F.max("con").alias("con"), F.min_by("mid_ms", F.struct(-F.col("con"), F.col("mid_ms"))).alias("at"))
     if label_order is not None:
-        best = best.join(label_order, "label", "left")
+        best = best.join(label_order, _by(label_order), "left")
     else:
         best = best.withColumn("pos", F.lit(None).cast("int"))
     line = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "at"))))
@@ -190,13 +231,22 @@ def listwise(candidates: DataFrame, listed: DataFrame, pool: int) -> DataFrame:
 
 
 def without_negated(candidates: DataFrame, evidence: DataFrame, negations: list[str]) -> DataFrame:
-    """Drop candidates whose evidence text holds a negated phrase; blank phrases and candidates without evidence don't count."""
-    needles = [n.strip().lower() for n in negations if n.strip()]
-    text = F.lower(F.coalesce("evidence", F.lit("")))
-    hit = F.lit(False)
-    for n in needles:
-        hit = hit | F.contains(text, F.lit(n))
-    return candidates.join(evidence, "shot_key", "left").where((text == "") | ~hit).drop("evidence")
+    """Drop candidates whose evidence text holds a negated phrase, both case-folded; blank phrases and candidates without evidence don't count."""
+    needles = [n.casefold() for n in negations if n.strip()]
+    if not needles:
+        return candidates
+    folded = T.casefold(F.coalesce("evidence", F.lit("")))
+    # folded once for each text with evidence, not for each candidate
+    told = evidence.withColumn("_folded", folded).where(reduce(lambda a, b: a | b, [F.contains("_folded", F.lit(n)) for n in needles]))
+    return candidates.join(told.select("shot_key").distinct(), "shot_key", "left_anti")
+
+
+def without_own_negated(candidates: DataFrame, evidence: DataFrame, negations: DataFrame) -> DataFrame:
+    """The same where each query (query_id, negations) has phrases of its own."""
+    phrases = negations.select("query_id", F.explode("negations").alias("phrase")).where(T.strip(F.col("phrase")) != "").withColumn("phrase", T.casefold("phrase"))
+    told = candidates.select("query_id", "shot_key").join(phrases, "query_id").join(evidence.withColumn("_folded", T.casefold("evidence")), "shot_key")
+    hit = told.where(F.contains("_folded", F.col("phrase"))).select("query_id", "shot_key").distinct()
+    return candidates.join(hit, ["query_id", "shot_key"], "left_anti")
 
 
 def narrowed(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -216,9 +266,7 @@ def plan_labels(spec: DataFrame, fields: DataFrame, weights: DataFrame) -> DataF
 
 def chunk_labels(plan: DataFrame, channel: str, most: int) -> DataFrame:
     """Split the texts of a channel's sub-queries into sentences; each chunk is a label of its own with its position, and carries an equal share of the weight."""
-    from ..functions.text import sentences
-
-    split = plan.where(F.col("channel") == channel).withColumn("parts", sentences(F.col("text"), most)).withColumn("n", F.size("parts"))
+    split = plan.where(F.col("channel") == channel).withColumn("parts", T.sentences(F.col("text"), most)).withColumn("n", F.size("parts"))
     chunks = split.select("query_id", F.col("label").alias("parent"), "channel", "weight", "n", F.posexplode("parts").alias("pos", "text"))
     name = F.when(F.col("n") == 1, F.col("parent")).otherwise(F.concat(F.substring_index("parent", ".", 1), F.lit("c"), F.col("pos").cast("string"), F.lit("."), F.col("channel")))
     rest = plan.where(F.col("channel") != channel).select("query_id", "label", "channel", "text", "weight", F.lit(None).cast("int").alias("pos"))

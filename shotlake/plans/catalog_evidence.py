@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import ordered as O
+from ..operators import performance as P
 from ..sources import manifests as M
 from ..sources import views as V
 from .registry import query
@@ -40,21 +41,42 @@ def fold(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.md5(T.fold_diacritics("text")).alias("h"))
 
 
-@query("p08_parse_number", """with n as (select p_partkey, case p_partkey % 4 when 0 then cast(p_partkey % 100 as varchar) when 1 then 'forty-two' when 2 then ' Seven ' else 'no number' end t from part)
- select p_partkey, case p_partkey % 4 when 0 then p_partkey % 100 when 1 then 42 when 2 then 7 end n from n""")
+#: Number words of the answers in the queries below, by key modulo their count, and what each is worth.
+SPOKEN = [("Seven", None), (" ba ", 3), ("-12", -12), ("mười lăm", 15), ("hai mươi", 20), ("ba mươi  mốt", 31), ("một mươi ba", None), ("mười", 10), ("không", 0), ("some words more than three", None), ("", None)]
+
+
+def _sql_case(key: str, values: list) -> str:
+    quoted = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
+    return f"case {key} " + " ".join(f"when {i} then {quoted(v)}" for i, v in enumerate(values)) + " end"
+
+
+def _case(key, values: list, kind: str):
+    out = F.when(key == 0, F.lit(values[0]).cast(kind))
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(key == i, F.lit(v).cast(kind))
+    return out
+
+
+@query("p08_parse_number", f"select p_partkey, case p_partkey % 2 when 0 then p_partkey else {_sql_case(f'p_partkey // 2 % {len(SPOKEN)}', [n for _, n in SPOKEN])} end n from part")
 def number(spark, d):
     k = F.col("p_partkey")
-    t = F.when(k % 4 == 0, (k % 100).cast("string")).when(k % 4 == 1, "forty-two").when(k % 4 == 2, " Seven ").otherwise("no number")
+    t = F.when(k % 2 == 0, k.cast("string")).otherwise(_case((k / 2).cast("bigint") % len(SPOKEN), [w for w, _ in SPOKEN], "string"))
     return V.table(spark, d, "part").select("p_partkey", T.parse_number(t).alias("n"))
 
 
-@query("p11_answer_keys", """select p_partkey, case p_partkey % 3 when 0 then 'gray' when 1 then 'yes' else cast(p_partkey % 50 as varchar) end k, true valid from part""")
+#: Answers of each type with their keys and whether these are valid.
+ANSWERS = [
+    ("number", " ba Người ", "3", True), ("number", "PHẦN TRĂM", "phần trăm", False), ("number", "hai mươi ba %", "23", True), ("number", "many", "many", False), ("number", "-7 con", "-7", True),
+    ("color", "XANH Dương", "lam", True), ("color", "Grey", "xám", True), ("color", "mauve", "mauve", False), ("text", "  STRASSE ", "strasse", True), ("text", "Straße", "strasse", True), ("text", "Phở".encode().decode(), "phở", True), ("entity", " ", "", False),
+]
+
+
+@query("p11_answer_keys", f"select p_partkey, {_sql_case(f'p_partkey % {len(ANSWERS)}', [a[2] for a in ANSWERS])} k, p_partkey % {len(ANSWERS)} not in ({', '.join(str(i) for i, a in enumerate(ANSWERS) if not a[3])}) as valid from part")
 def keys(spark, d):
-    k = F.col("p_partkey")
-    kind = F.when(k % 3 == 0, "color").when(k % 3 == 1, "yesno").otherwise("number")
-    raw = F.when(k % 3 == 0, "Grey ").when(k % 3 == 1, " TRUE").otherwise(F.concat((k % 50).cast("string"), F.lit(" people")))
-    key = T.answer_key(raw, kind)
-    return V.table(spark, d, "part").select("p_partkey", key.alias("k"), T.valid_answer(key, kind).alias("valid"))
+    k = F.col("p_partkey") % len(ANSWERS)
+    kind = _case(k, [a[0] for a in ANSWERS], "string")
+    rows = V.table(spark, d, "part").select("p_partkey", kind.alias("kind"), T.answer_key(_case(k, [a[1] for a in ANSWERS], "string"), kind).alias("k"))
+    return rows.select("p_partkey", "k", T.valid_answer(F.col("k"), F.col("kind")).alias("valid"))
 
 
 @query("p13_sentences", r"""with s as (select conv_id, turn, list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_split_to_array(text, '[.!?;…]+|\n+')], lambda x: x<>'') p, regexp_replace(text, '^\s+|\s+$', '', 'g') t from conversations)
@@ -160,7 +182,7 @@ def motion(spark, d):
 @query("w09_reading_order")
 def reading(spark, d):
     h = F.pmod(F.xxhash64("doc_id", "line_ord"), F.lit(100)).cast("double")
-    rows = V.lines(spark, d).where("line_ord < 12").select("doc_id", F.col("line_ord").alias("ord"), "text", (h / 100).alias("x0"), ((F.col("line_ord") / 3) * 10 + h / 50).alias("y0"), ((F.col("line_ord") / 3) * 10 + h / 50 + 5).alias("y1"))
+    rows = V.lines(spark, d).select("doc_id", F.col("line_ord").alias("ord"), "text", (h / 100).alias("x0"), ((F.col("line_ord") / 3) * 10 + h / 50).alias("y0"), ((F.col("line_ord") / 3) * 10 + h / 50 + 5).alias("y1"))
     return O.reading_order(rows, 0.6, ["doc_id"])
 
 
@@ -170,9 +192,9 @@ def variable_rate(spark, d):
     return O.variable_rate(V.hits(spark, d).select("video_id", F.col("mid_ms").alias("ms")), 0.5)
 
 
-@query("w12_rank_margin", f"{V.with_views('hit')} select label query_id, greatest(0.0, arg_max(score, -rank) - arg_max(score, rank)) margin from hit where rank <= 10 group by label")
+@query("w12_rank_margin", f"{V.with_views('hit')} select label query_id, round(case when count(*) < 2 or arg_max(score, -rank) <= 0 then 0.0 else greatest(0.0, (arg_max(score, -rank) - arg_max(score, rank)) / arg_max(score, -rank)) end, 9) margin from hit where rank <= 10 group by label")
 def margin(spark, d):
-    return O.rank_margin(V.hits(spark, d).withColumnRenamed("label", "query_id"), 10)
+    return P.margin(V.hits(spark, d).withColumnRenamed("label", "query_id"), 10)
 
 
 @query("j08_nearest_frames", f"""{V.with_views('kf')}, t as (select distinct video_id, frame_idx*700 target_ms from kf), c as (select t.*, k.timestamp_ms, row_number() over (partition by t.video_id, target_ms order by abs(k.timestamp_ms-target_ms), k.timestamp_ms) n from t join kf k using (video_id))
@@ -213,7 +235,7 @@ LINES_OF_SHOTS = "ln as (select shot.video_id, shot.shot_id, line.line_ord, line
 
 def _shot_lines(spark, d):
     s = V.shots(spark, d).withColumn("src", F.concat(F.lit("src"), F.substring("video_id", 2, 9).cast("int").cast("string"))).select("video_id", "shot_id", "src")
-    lines = V.lines(spark, d).where("line_ord < 4").select(F.col("video_id").alias("src"), (F.col("doc_id") % 200).cast("int").alias("shot_id"), "line_ord", "text", "confidence")
+    lines = V.lines(spark, d).select(F.col("video_id").alias("src"), (F.col("doc_id") % 200).cast("int").alias("shot_id"), "line_ord", "text", "confidence")
     return s.join(lines, ["src", "shot_id"]).drop("src")
 
 
@@ -232,12 +254,15 @@ def merge_lines(spark, d):
     return E.merge_lines(V.lines(spark, d), ["doc_id"]).select("doc_id", "text", "confidence", "line_ord")
 
 
-OVERLAY_SQL = f"""{V.with_views('line')}, n as (select video_id, count(distinct doc_id) n_shots from line group by all), o as (select video_id, text, max(confidence) confidence from line join n using (video_id) group by video_id, text, n_shots having count(distinct doc_id) >= 0.1*n_shots)"""
+#: On odd documents the letter e with acute stands in its decomposed form.
+OVERLAY_SQL = f"""{V.with_views('line')}, ln as (select video_id, doc_id, line_ord, confidence, t as text, regexp_replace(nfc_normalize(t), {WS}, '', 'g') as key from (select *, case when doc_id % 2 = 1 then replace(text, chr(233), 'e' || chr(769)) else text end t from line)),
+ n as (select video_id, count(distinct doc_id) n_shots from ln group by all), o as (select video_id, key, arg_min(text, (-confidence, doc_id, line_ord)) as text, max(confidence) confidence from ln join n using (video_id) group by video_id, key, n_shots having count(distinct doc_id) / n_shots >= 0.01)"""
 
 
 def _overlay(spark, d):
-    lines = V.lines(spark, d).withColumnRenamed("doc_id", "shot_id")
-    return E.split_overlay(lines, lines.groupBy("video_id").agg(F.count_distinct("shot_id").alias("n_shots")), 0.1)
+    text = F.when(F.col("doc_id") % 2 == 1, F.replace("text", F.lit("\u00e9"), F.lit("e\u0301"))).otherwise(F.col("text"))
+    lines = V.lines(spark, d).withColumn("text", text).withColumnRenamed("doc_id", "shot_id")
+    return E.split_overlay(lines, lines.groupBy("video_id").agg(F.count_distinct("shot_id").alias("n_shots")), 0.01)
 
 
 @query("a03_overlay_lines", OVERLAY_SQL + " select * from o")
@@ -245,7 +270,7 @@ def overlay(spark, d):
     return _overlay(spark, d)[1]
 
 
-@query("a03_scene_lines", OVERLAY_SQL + " select video_id, count(*) n from line where (video_id, text) not in (select video_id, text from o) group by video_id")
+@query("a03_scene_lines", OVERLAY_SQL + " select video_id, count(*) n from ln where (video_id, key) not in (select video_id, key from o) group by video_id")
 def scene(spark, d):
     return _overlay(spark, d)[0].groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -256,12 +281,12 @@ def bundles(spark, d):
     return made.select("shot_key", F.transform("frames", lambda f: f["keyframe_id"]).alias("frames"))
 
 
-LEDGER_SQL = f"""{V.with_views('line')}, s as (select cast(doc_id as varchar) shot_key, list(text order by line_ord) filter (where confidence >= 0.5) screen_text from line where line_ord < 6 group by all)"""
+LEDGER_SQL = f"""{V.with_views('line')}, s as (select cast(doc_id as varchar) shot_key, list(text order by line_ord) filter (where confidence >= 0.5) screen_text from line group by all)"""
 
 
 def _ledger(spark, d):
     item = F.struct("line_ord", "text", "confidence")
-    chron = V.lines(spark, d).where("line_ord < 6").groupBy(F.col("doc_id").cast("string").alias("shot_key")).agg(F.array_sort(F.collect_list(item)).alias("ocr"))
+    chron = V.lines(spark, d).groupBy(F.col("doc_id").cast("string").alias("shot_key")).agg(F.array_sort(F.collect_list(item)).alias("ocr"))
     named = chron.withColumn("persons", F.array(F.lit("A"), F.lit("B"))).withColumn("orgs", F.array(F.lit("B"))).withColumn("places", F.lit(None).cast("array<string>"))
     counts = V.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("shot_key"), F.col("quality").alias("people_count"), F.lit(None).cast("array<string>").alias("salient_objects"))
     return E.ledger(named, counts, 0.5)
@@ -272,9 +297,9 @@ def ledger(spark, d):
     return _ledger(spark, d).select("shot_key", "screen_text", "spoken_entities", "people_count")
 
 
-@query("x02_ledger_answer", LEDGER_SQL + " select shot_key, coalesce(screen_text[1], 'A') answer, case when screen_text[1] is null then 'spoken_entities' else 'screen_text' end field from s")
+@query("x02_ledger_answer", LEDGER_SQL + " select shot_key, screen_text[1] answer, case when screen_text[1] is null then 'spoken_entities' else 'screen_text' end field, coalesce(screen_text[1], 'A') as value from s")
 def answer(spark, d):
-    return _ledger(spark, d).select("shot_key", E.ledger_answer(F.lit("read_text")).alias("a")).select("shot_key", "a.answer", "a.field")
+    return _ledger(spark, d).select("shot_key", E.ledger_answer(F.lit("read_text")).alias("a")).select("shot_key", "a.answer", "a.field", "a.value")
 
 
 @query("p19_factoid_text", LEDGER_SQL + " select shot_key, md5(array_to_string(list_concat(list_concat(coalesce(screen_text, []), ['A','B']), case when quality is null then [] else [quality || ' people'] end), '. ')) h from s left join labels on cast(labels.doc_id as varchar)=shot_key")

@@ -14,13 +14,13 @@ from .catalog_ranking import POSTINGS_SQL, RRF_SQL, _rankings, _sparse, _weights
 from .registry import query
 
 READS_SQL = """rd as (select conv_id question_id, turn ord, case turn % 3 when 0 then ' Yes ' when 1 then 'no' else 'TRUE' end answer, (length(text) % 10)/10.0::double score from conversations),
- gk as (select *, case when lower(trim(answer)) in ('yes','true') then 'yes' else 'no' end normalized from rd)"""
+ gk as (select *, lower(trim(answer)) normalized from rd)"""
 
 
 def _reads(spark, d):
     t = F.col("turn")
     answer = F.when(t % 3 == 0, " Yes ").when(t % 3 == 1, "no").otherwise("TRUE")
-    return V.table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), t.alias("ord"), answer.alias("answer"), F.lit("yesno").alias("kind"), ((F.length("text") % 10).cast("double") / 10.0).alias("score"))
+    return V.table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), t.alias("ord"), answer.alias("answer"), F.lit("yes_no").alias("kind"), ((F.length("text") % 10).cast("double") / 10.0).alias("score"))
 
 
 VOTE_SQL = f"""with {READS_SQL}, gg as (select question_id, normalized, arg_min(answer, ord) answer, count(*) reads, sum(score) s from gk group by all), vv as (select question_id, normalized, answer, reads, round(s*(case when question_id % 4 = 0 and normalized='no' then 1.25 else 1.0 end),9) score, (question_id % 4 = 0 and normalized='no') agrees from gg)
@@ -71,27 +71,28 @@ def weak(spark, d):
     return peaks.select("query_id", F.round("peak", 9).alias("peak"), A.weak_locator(F.col("peak"), F.col("query_id") == "click", 1.2).alias("weak"))
 
 
-@query("f10_double_gate", f"{V.with_views('hit')} select label query_id from hit where rank <= 5 group by label having (count(*)=1 or max(score) >= 0.21*sum(score)) and max(score) >= 50")
+@query("f10_double_gate", f"{V.with_views('hit')}, n as (select label, count(*) n, max(score) best from hit group by label), p as (select label, case when median(score) > 0 then max(score)/median(score) else 1.0 end peak from hit where rank <= 50 group by label) select label query_id from n join p using (label) where (n = 1 or peak >= 1.01) and best >= 50")
 def gate(spark, d):
     h = V.hits(spark, d).withColumnRenamed("label", "query_id")
-    return A.double_gate(h, h.groupBy("query_id").agg(F.max("score").alias("locator")), 5, 0.21, 50.0)
+    return A.double_gate(h, h.groupBy("query_id").agg(F.max("score").alias("locator")), 50, 1.01, 50.0)
 
 
-@query("f15_hint", "select event_id, case when user_id % 10 >= 7 then 'submit' when value > 200 then 'submit' when event_id % 3 = 0 then 'wait' else 'zoom' end hint from events")
+@query("f15_hint", "select event_id, case when user_id % 10 >= 7 then 'wait_for_reads' when value > 200 then 'submit_now' when event_id % 3 = 0 then 'wait_for_reads' else 'escalate_zoom' end hint from events")
 def hint(spark, d):
     return V.table(spark, d, "events").select("event_id", A.hint(F.lit(7), F.col("value") > 200, F.col("event_id") % 3 == 0, F.col("user_id") % 10).alias("hint"))
 
 
 @query("x10_answer_matches", "select p_partkey, p_partkey % 100 in (5, 6) ok from part")
 def matches(spark, d):
-    said = F.concat((F.col("p_partkey") % 100).cast("string"), F.lit(" times"))
-    return V.table(spark, d, "part").select("p_partkey", A.matches(said, F.array(F.lit("five"), F.lit("6")), F.lit("number")).alias("ok"))
+    said = F.concat((F.col("p_partkey") % 100).cast("string"), F.lit(" lần"))
+    rows = V.table(spark, d, "part").select("p_partkey", said.alias("answer"), F.array(F.lit("năm"), F.lit("6"), F.lit("")).alias("accepted"), F.lit("number").alias("kind"))
+    return A.matches(rows, ["p_partkey"])
 
 
-@query("x07_seed_hypotheses", """with r as (select event_id rank, 'q' query_id, [event_type, 'u' || (user_id % 4)] n from events where event_id < 40), f as (select query_id, unnest(n) as name, rank, generate_subscripts(n,1) pos from r where rank <= 20), g as (select query_id, name, min((rank,pos)) p from f group by all)
+@query("x07_seed_hypotheses", """with r as (select event_id rank, 'q' query_id, [event_type, 'u' || (user_id % 4)] n from events), f as (select query_id, unnest(n) as name, rank, generate_subscripts(n,1) pos from r where rank <= 20), g as (select query_id, name, min((rank,pos)) p from f group by all)
  select query_id, name, row_number() over (order by p) ord from g""")
 def seeds(spark, d):
-    e = V.table(spark, d, "events").where("event_id < 40").select(F.lit("q").alias("query_id"), F.col("event_id").alias("rank"), F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string"))).alias("spoken_entities"))
+    e = V.table(spark, d, "events").select(F.lit("q").alias("query_id"), F.col("event_id").alias("rank"), F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string"))).alias("spoken_entities"))
     return A.seed_hypotheses(e, 20)
 
 
@@ -101,8 +102,8 @@ HITS_SQL = f"with {POSTINGS_SQL}, tr as (select b.item_id query_id, d.doc_id fro
 def _first_ranks(spark, d):
     results = _sparse(spark, d, 100).select("query_id", F.col("id").cast("string").alias("video_id"), F.lit(0).alias("timestamp_ms"), "rank")
     b, docs = V.table(spark, d, "benchmark"), V.table(spark, d, "documents")
-    # a benchmark is a small stated set of phrases, whose size the search checks
-    truths = docs.select("doc_id", "text").join(F.broadcast(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))), F.contains("text", "phrase")).select("query_id", F.col("doc_id").cast("string").alias("video_id"), F.lit(0).alias("t_start_ms"), F.lit(10).alias("t_end_ms"))
+    held = E.phrase_documents(docs.select(F.col("doc_id").alias("id"), "text"), b.select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase")))
+    truths = held.select("query_id", F.col("id").cast("string").alias("video_id"), F.lit(0).alias("t_start_ms"), F.lit(10).alias("t_end_ms"))
     return EV.first_hits(results, truths)
 
 
@@ -215,9 +216,9 @@ def fixture(spark, d):
     return EV.fixture_violations(spark.createDataFrame(rows, kind), V.shots(spark, d).select("video_id").distinct())
 
 
-@query("e04_spaced_windows")
+@query("e04_sampled_windows")
 def windows(spark, d):
-    return EV.spaced_windows(V.shots(spark, d), 20, 4)
+    return EV.sampled_windows(V.keyframes(spark, d).select("video_id", "timestamp_ms", F.col("keyframe_id").alias("image_path")), 40, 9000, 3)
 
 
 @query("e05_round_robin", "select doc_id, ['entity','read_text','other'][(row_number() over (order by doc_id)-1) % 3 + 1] as mode from labels")
@@ -225,28 +226,6 @@ def robin(spark, d):
     return EV.round_robin(V.table(spark, d, "labels").select("doc_id"), ["entity", "read_text", "other"], "doc_id")
 
 
-BROKEN_SQL = f"{V.with_views('shot')}, v as (select video_id, case when video_id='V003' then 'failed' else 'done' end status, count(*) + (video_id='V005')::int n_shots from shot group by video_id), br as (select video_id, 'failed' reason from v where status='failed' union all select v.video_id, 'partial' from v join (select video_id, count(*) n from shot group by all) c using (video_id) where status='done' and v.n_shots <> c.n)"
-
-
-def _broken(spark, d):
-    shots, kf = V.shots(spark, d), V.keyframes(spark, d)
-    n = kf.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_keyframes"))
-    v = shots.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).join(n, "video_id")
-    videos = v.select("video_id", F.when(F.col("video_id") == "V003", "failed").otherwise("done").alias("status"), (F.col("n") + F.when(F.col("video_id") == "V005", 1).otherwise(0)).alias("n_shots"), "n_keyframes")
-    return EV.broken_videos(videos, shots, kf), shots, kf
-
-
-@query("u01_broken_videos", BROKEN_SQL + " select * from br")
-def broken(spark, d):
-    return _broken(spark, d)[0]
-
-
-@query("e07_repair", BROKEN_SQL + " select 'shots' as \"table\", count(*) dropped from shot where video_id in (select video_id from br) union all select 'keyframes', count(*) from kf where video_id in (select video_id from br)")
-def repair(spark, d):
-    bad, shots, kf = _broken(spark, d)
-    return EV.repaired({"shots": (shots, "video_id"), "keyframes": (kf, "video_id")}, bad)[1]
-
-
 @query("t02_constraints", """with r as (select conv_id session_id, list(regexp_replace(text, '^\\s+|\\s+$', '', 'g') order by turn) t from conversations group by all), n as (select session_id, list_filter(t, lambda x: x<>'') t, len(t) version from r)
  select session_id, case when len(t) <= 3 then t else list_concat([array_to_string(t[1:len(t)-2], '; ')], t[len(t)-1:]) end stack, version from n""")
 def stacks(spark, d):
@@ -255,7 +234,7 @@ def stacks(spark, d):
 
 @query("t03_narrowed_sets")
 def narrowed(spark, d):
-    keys = F.array_distinct(F.slice(F.split("text", " "), 1, 20))
+    keys = F.array_distinct(F.split("text", " "))
     return S.narrowed_sets(V.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), keys.alias("keys")))
 
 

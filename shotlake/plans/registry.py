@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r03_window_fusion"](spark, sf_dir)
 
 
-from . import catalog_evidence, catalog_more, catalog_ranking, catalog_reports  # noqa: E402,F401
+from . import catalog_evidence, catalog_more, catalog_ranking, catalog_reports, catalog_service  # noqa: E402,F401

@@ -8,11 +8,12 @@ import re
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.evidence import last_wins
+from ..operators.integrity import global_rank
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -172,8 +173,8 @@ def dataset_index(entries: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def batched(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """Batch numbers of fixed size over an order; for listing-sized tables."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1) / size).cast("int"))
+    """Batch numbers of fixed size over an order."""
+    return global_rank(rows, *order, name="batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:

@@ -115,9 +115,18 @@ def test_unicode_functions(spark):
 
 
 def test_text_functions(spark):
-    one = spark.createDataFrame([("Twenty-three", "3 people", "people", "```json\n{\"a\": 1}\n```", "a. b! c\nd")], "n string, u string, only string, j string, s string")
-    r = one.select(T.parse_number(F.col("n")).alias("n"), T.without_unit(F.col("u")).alias("u"), T.without_unit(F.col("only")).alias("only"), T.reply_json(F.col("j"), "a int")["a"].alias("a"), T.sentences(F.col("s"), 3).alias("s")).first()
-    assert (r.n, r.u, r.only, r.a, r.s) == (23, "3", "people", 1, ["a", "b", "c. d"])
+    one = spark.createDataFrame([("hai mươi ba", "3 phần trăm", "người", "```json\n{\"a\": 1}\n```", "a. b! c\nd")], "n string, u string, only string, j string, s string")
+    number = F.lit("number")
+    r = one.select(T.parse_number(F.col("n")).alias("n"), T.without_unit(F.col("u"), number).alias("u"), T.without_unit(F.col("only"), number).alias("only"), T.reply_json(F.col("j"), "a int")["a"].alias("a"), T.sentences(F.col("s"), 3).alias("s"), T.parse_number(F.col("n"), T.PLAIN_RULES).alias("plain")).first()
+    assert (r.n, r.u, r.only, r.a, r.s, r.plain) == (23, "3", "người", 1, ["a", "b", "c. d"], None)
+
+
+def test_negations_are_case_folded(spark):
+    candidates = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("p", "a", 1)], "query_id string, shot_key string, rank int")
+    evidence = spark.createDataFrame([("a", "die STRASSE"), ("c", "Straße")], "shot_key string, evidence string")
+    assert {r.shot_key for r in R.without_negated(candidates, evidence, ["Straße", " "]).collect()} == {"b"}
+    own = spark.createDataFrame([("q", ["Straße", ""]), ("p", ["x"])], "query_id string, negations array<string>")
+    assert {(r.query_id, r.shot_key) for r in R.without_own_negated(candidates, evidence, own).collect()} == {("q", "b"), ("p", "a")}
 
 
 def test_counts_round_half_to_even(spark):
