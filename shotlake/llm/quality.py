@@ -3,9 +3,10 @@
 Each text gives two histograms, of character classes and of common words. The
 references are, for each language, the summed histograms of all documents that
 pass the base rules and have at most one symbol in SYMBOL_SHARE characters. A text
-is rejected if its character classes, those without letters and digits, or its common
-words lie further (by Jensen-Shannon distance) from every language's reference
-than a threshold;
+is rejected if its character classes, those without letters and digits, its common
+words among each other, or their share of all words lie further (by
+Jensen-Shannon distance) from every language's reference than that language's
+limit, which is set from the distances of its own documents;
 texts shorter than the guards are not judged this way. The base rules on word
 count and repeated words reject by themselves.
 
@@ -17,18 +18,20 @@ other than those named are carried along or ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, settle, table
+from .common import let, table, written
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 5
-#: Guards: fewer word characters or words than this give no divergence verdict.
-MIN_CHARS, MIN_WORDS = 200, 40
+#: Guards: fewer word characters, words or common words than this give no divergence verdict.
+MIN_CHARS, MIN_WORDS, MIN_COMMON = 200, 40, 100
 SYMBOL_SHARE = 100
-#: Largest Jensen-Shannon distance (base 2, 0 to 1) from the nearest language reference.
-MAX_CHAR_DISTANCE, MAX_MARK_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.30, 0.80
+#: A distance rejects beyond the mean of a language's own documents by SPREAD standard deviations, and by FLOOR at least; languages with fewer than ENOUGH such documents take the widest limit of the others, and none rejects where no language has one.
+SPREAD, FLOOR, ENOUGH = 6.0, 0.1, 20
 
 #: Character classes that are counted; what is left, the lower-case letters, is the first class.
 CLASSES = {
@@ -130,32 +133,73 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
-def references(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """One row a language: the summed histograms of its documents. Languages are few; each task sends one row for each."""
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("classes", len(CLASSES) + 1), ("commons", len(WORDS) + 1)) for i in range(n)]
-    flat = measured.where(F.col(lang_col).isNotNull()).where(f"not ({BASE_FAILED}) and {SYMBOL_SHARE} * n_symbols <= word_chars").groupBy(lang_col).agg(*sums)
-    return flat.select(
-        F.col(lang_col).alias("ref_lang"),
-        F.array(*[f"classes{i}" for i in range(len(CLASSES) + 1)]).alias("classes"),
-        F.array(*[f"commons{i}" for i in range(len(WORDS) + 1)]).alias("commons"),
-    )
-
-
-def judge(measured: DataFrame, refs: list) -> DataFrame:
-    """Adds the distances, base_failed and kept; refs are the rows of references()."""
-
-    def nearest(col: str, first: int = 0, n: int = 10_000) -> Column:
+#: What a verdict compares: the histogram, the count that must reach the guard, and the guard.
+def _shapes() -> dict[str, tuple[Column, Column, int]]:
+    n = len(WORDS)
+    common = F.slice("commons", 1, n)
+    hits = F.aggregate(common, F.lit(0), lambda a, x: a + x.cast("int"))
+    return {
+        "char": (F.col("classes"), F.col("word_chars"), MIN_CHARS),
+        "mark": (F.slice("classes", 4, 3), F.col("n_words"), MIN_WORDS),
+        "word": (common, hits, MIN_COMMON),
+        "share": (F.array(hits.cast("bigint"), F.get("commons", F.lit(n)).cast("bigint")), F.col("n_words"), MIN_WORDS),
+    }
+
+
+def _eligible(measured: DataFrame, lang_col: str) -> DataFrame:
+    return measured.where(F.col(lang_col).isNotNull()).where(f"not ({BASE_FAILED}) and {SYMBOL_SHARE} * n_symbols <= word_chars")
+
+
+def references(measured: DataFrame, lang_col: str = "lang") -> list[dict]:
+    """For each language the summed histograms of its documents and the limit of each distance.
+
+    A limit lies SPREAD standard deviations above the mean distance of the
+    language's own documents from their sum. One row a language comes to the
+    driver: languages are few, each task sends one row for each.
+    """
+    own = _eligible(measured, lang_col)
+    sums = [F.sum(F.col(c)[i].cast("bigint")).alias(f"{c}{i}") for c, n in (("classes", len(CLASSES) + 1), ("commons", len(WORDS) + 1)) for i in range(n)]
+    refs = [
+        {"lang": r[0], "classes": [r[f"classes{i}"] for i in range(len(CLASSES) + 1)], "commons": [r[f"commons{i}"] for i in range(len(WORDS) + 1)]}
+        for r in own.groupBy(lang_col).agg(*sums).orderBy(lang_col).collect()
+    ]
+    for ref in refs:
+        common = ref["commons"][: len(WORDS)]
+        ref["shapes"] = {"char": ref["classes"], "mark": ref["classes"][3:6], "word": common, "share": [sum(common), ref["commons"][len(WORDS)]]}
+        ref["limits"] = {}
+    if not refs:
+        return refs
+    stats = []
+    for name, (shape, size, least) in _shapes().items():
+        mine = F.get(_literal([r["shapes"][name] for r in refs], "array<array<bigint>>"), F.array_position(_literal([r["lang"] for r in refs], "array<string>"), F.col(lang_col).cast("string")).cast("int") - 1)
+        d = F.when(size >= least, let(F.struct(shape.cast("array<bigint>").alias("a"), mine.alias("b")), lambda x: distance(x["a"], x["b"])))
+        stats += [F.count(d).alias(f"{name}_n"), F.avg(d).alias(f"{name}_mean"), F.stddev_pop(d).alias(f"{name}_std")]
+    spread = {r[0]: r for r in own.groupBy(lang_col).agg(*stats).collect()}
+    for name in _shapes():
+        own_limits = {lang: max(FLOOR, r[f"{name}_mean"] + SPREAD * r[f"{name}_std"]) for lang, r in spread.items() if r[f"{name}_n"] >= ENOUGH}
+        for ref in refs:
+            ref["limits"][name] = own_limits.get(ref["lang"], max(own_limits.values(), default=1.0))
+    return refs
+
+
+def _literal(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def judge(measured: DataFrame, refs: list[dict]) -> DataFrame:
+    """Adds the distances from the nearest reference, base_failed and kept; refs come from references()."""
+    out = measured.withColumn("base_failed", F.expr(BASE_FAILED))
+    far = F.col("base_failed")
+    for name, (shape, size, least) in _shapes().items():
         if not refs:
-            return F.lit(0.0)
-        shapes = F.from_json(F.lit(str([list(map(int, r[col][first : first + n])) for r in refs])), "array<array<bigint>>")
+            out = out.withColumn(f"{name}_distance", F.lit(0.0))
+            continue
+        against = _literal([{"q": r["shapes"][name], "limit": r["limits"][name]} for r in refs], "array<struct<q:array<bigint>,limit:double>>")
         # bound first: an expression inside a lambda would be evaluated for each element
-        return let(F.slice(F.col(col), first + 1, n), lambda own: F.array_min(F.transform(shapes, lambda q: distance(own, q))))
-
-    with_distance = measured.withColumn("char_distance", nearest("classes")).withColumn("mark_distance", nearest("classes", 3, 3)).withColumn("word_distance", nearest("commons")).withColumn("base_failed", F.expr(BASE_FAILED))
-    far_chars = (F.col("word_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
-    far_marks = (F.col("n_words") >= MIN_WORDS) & (F.col("mark_distance") > MAX_MARK_DISTANCE)
-    far_words = (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
-    return with_distance.withColumn("kept", ~(F.col("base_failed") | far_chars | far_marks | far_words))
+        ways = let(shape.cast("array<bigint>"), lambda own: F.array_min(F.transform(against, lambda r: let(distance(own, r["q"]), lambda d: F.struct((d / r["limit"]).alias("part"), d.alias("d"))))))  # noqa: B023
+        out = out.withColumn(f"_{name}", ways).withColumn(f"{name}_distance", F.col(f"_{name}.d"))
+        far = far | ((size >= least) & (F.col(f"_{name}.part") > 1))
+    return out.withColumn("kept", ~far)
 
 
 def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep_columns: list[str] | None = None) -> DataFrame:
@@ -163,20 +207,19 @@ def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep
     carried = keep_columns if keep_columns is not None else [c for c in docs.columns if c != text_col]
     names = [f"in{i}" for i in range(len(carried))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)], F.col(text_col).alias("body"), F.col(lang_col).alias("ref"))
-    measured = settle(measures(source, "body").drop("body"))
-    refs = references(measured, "ref").collect()
-    judged = judge(measured, refs)
-    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "mark_distance", "word_distance"]
+    measured = written(measures(source, "body").drop("body"))
+    judged = judge(measured, references(measured, "ref"))
+    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[f"{n}_distance" for n in _shapes()]]
     return judged.select(*[F.col(n).alias(c) for c, n in zip(carried, names, strict=True)], *numbers)
 
 
 def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, in all their columns, that keep their place under the rules."""
     names = [f"in{i}" for i in range(len(docs.columns))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(text_col).alias("body"), F.col(lang_col).alias("ref"))
-    refs = references(measures(source.select("body", "ref"), "body"), "ref").collect()
-    kept = judge(measures(source, "body"), refs).where("kept")
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    of = dict(zip(docs.columns, names, strict=True))
+    # measured once: the references and the verdicts read what this wrote
+    measured = written(measures(docs.toDF(*names).withColumn("ref", F.col(of[lang_col])), of[text_col]))
+    return judge(measured, references(measured, "ref")).where("kept").select(*names).toDF(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
