@@ -10,8 +10,8 @@ empty; the others keep their order. Every document gets a place.
 
 Null sources form a source of their own, named by the empty string; so do
 empty names. Repeated rows stay, equal rows take adjacent places in any order.
-An empty table gives an empty result. Column names added by `mix` replace
-input columns of the same name.
+An empty table gives an empty result. Of the input's columns only those go that
+have the name of a column that `mix` adds; all others, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import table
 #: Slots of a cycle at least (never fewer than sources), documents of a block, and documents that are numbered together.
 CYCLE, BLOCK, TOGETHER = 1000, 16, 256
 MOST_BUCKETS = 65536
+#: The columns that `mix` adds.
+ADDED = {"mix_source": "string", "mix_block": "bigint", "mix_slot": "bigint", "mix_position": "bigint"}
 
 
 def shares(weights: dict[str, float], cycle: int = CYCLE) -> dict[str, int]:
@@ -68,38 +70,48 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     weights: target weight of each source, by default the square root of its
     size; sources that it doesn't name get the smallest weight named. Sources
-    are counted on the driver: their number must be small against the rows.
+    are counted on the driver, which holds one number for each slot of a cycle:
+    their number must be small against the rows.
     """
-    source = F.coalesce(F.col(source_col), F.lit(""))
-    counts = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().collect()}
-    kind = "mix_source string, mix_block bigint, mix_slot bigint, mix_position bigint"
+    # input columns travel under names of their own, so none can clash with those used here
+    names = [f"in{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    kept = {c: n for c, n in of.items() if c not in ADDED}
+    rows = docs.toDF(*names).withColumn("source", F.coalesce(F.col(of[source_col]), F.lit("")))
+    counts = {r[0]: r[1] for r in rows.groupBy("source").count().collect()}
     if not counts:
-        return docs.sparkSession.createDataFrame([], docs.drop("mix_source", "mix_block", "mix_slot", "mix_position").schema).selectExpr("*", *[f"cast(null as {x.split()[1]}) {x.split()[0]}" for x in kind.split(", ")])
+        return rows.select(*kept.values(), *[F.lit(None).cast(kind).alias(c) for c, kind in ADDED.items()]).toDF(*kept, *ADDED)
     wanted = weights or tempered(counts)
     units = shares({s: wanted.get(s, min(wanted.values())) for s in counts}, cycle)
     order = sorted(units)
     q = sum(units.values())
-    rows, before = [], dict.fromkeys(order, 0)
-    for slot, s, j in cycle_of(units):
-        rows.append((s, j, slot, [before[x] for x in order]))
-        before[s] += 1
-    plan = docs.sparkSession.createDataFrame(rows, "mix_source string, j bigint, at bigint, before array<bigint>")
-    sources = F.from_json(F.lit(json.dumps([{"n": counts[s], "a": units[s]} for s in order])), "array<struct<n:bigint,a:bigint>>")
-    sizes = docs.sparkSession.createDataFrame([(s, counts[s], units[s], min(MOST_BUCKETS, -(-counts[s] // TOGETHER))) for s in order], "mix_source string, n bigint, a bigint, buckets int")
-
-    keep = [c for c in docs.columns if not c.startswith("mix_")]
-    hashed = docs.select(*keep, source.alias("mix_source"), F.xxhash64(F.col(id_col)).alias("_hash")).join(F.broadcast(sizes), "mix_source")
-    spread = hashed.withColumn("_bucket", F.pmod("_hash", "buckets"))
-    filled = spread.groupBy("mix_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    begin = filled.withColumn("_begin", F.sum("_n").over(Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("mix_source", "_bucket", F.coalesce("_begin", F.lit(0)).alias("_begin"))
-    ties: list[Column] = [F.col("_hash"), F.col(id_col)] + ([F.xxhash64(F.col(text_col))] if text_col else [])
-    own = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy(*ties))
-    numbered = spread.withColumn("_own", own).join(begin, ["mix_source", "_bucket"]).withColumn("_k", F.col("_begin") + F.col("_own") - 1)
-    blocked = numbered.withColumn("mix_block", F.floor(F.col("_k") / block)).withColumn("j", F.col("mix_block") % F.col("a")).withColumn("_cycle", F.floor(F.col("mix_block") / F.col("a")))
-    placed = blocked.join(F.broadcast(plan), ["mix_source", "j"])
-    ahead = F.zip_with(F.col("before"), sources, lambda c, s: F.least(s["n"], block * (F.col("_cycle") * s["a"] + c)))
-    position = F.aggregate(ahead, F.lit(0).cast("bigint"), lambda a, x: a + x) + F.col("_k") % block
-    return placed.select(*keep, "mix_source", "mix_block", (F.col("_cycle") * q + F.col("at")).alias("mix_slot"), position.alias("mix_position"))
+    schedule = cycle_of(units)
+    slots: dict[str, list[int]] = {s: [] for s in order}
+    for slot, s, _ in schedule:
+        slots[s].append(slot)
+    spark = docs.sparkSession
+    plan = spark.createDataFrame([(s, j, slot) for slot, s, j in schedule], "source string, j bigint, at bigint")
+    sources = F.from_json(F.lit(json.dumps([{"n": counts[s], "a": units[s], "slots": slots[s]} for s in order])), "array<struct<n:bigint,a:bigint,slots:array<bigint>>>")
+    sizes = spark.createDataFrame([(s, counts[s], units[s], min(MOST_BUCKETS, -(-counts[s] // TOGETHER))) for s in order], "source string, n bigint, a bigint, buckets int")
+
+    # sources are few and one row each here
+    spread = rows.withColumn("hash", F.xxhash64(of[id_col])).join(F.broadcast(sizes), "source").withColumn("bucket", F.pmod("hash", "buckets"))
+    filled = spread.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    begin = filled.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("begin"))
+    ties: list[Column] = [F.col("hash"), F.col(of[id_col])] + ([F.xxhash64(of[text_col])] if text_col else [])
+    own = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*ties))
+    numbered = spread.withColumn("own", own).join(begin, ["source", "bucket"]).withColumn("k", F.col("begin") + F.col("own") - 1)
+    blocked = numbered.withColumn("block", F.floor(F.col("k") / block)).withColumn("j", F.col("block") % F.col("a")).withColumn("round", F.floor(F.col("block") / F.col("a")))
+    placed = blocked.join(F.broadcast(plan), ["source", "j"])
+
+    def sent(s: Column) -> Column:
+        """Documents of a source in the slots before this one: in a cycle the whole blocks of its share, and one more if that already went."""
+        whole = F.floor(F.col("at") * s["a"] / q)
+        return F.least(s["n"], block * (F.col("round") * s["a"] + whole + F.when(F.get(s["slots"], whole.cast("int")) < F.col("at"), 1).otherwise(0)))
+
+    position = F.aggregate(F.transform(sources, sent), F.lit(0).cast("bigint"), lambda a, x: a + x) + F.col("k") % block
+    return placed.select(*kept.values(), "source", "block", (F.col("round") * q + F.col("at")).alias("slot"), position.alias("position")).toDF(*kept, *ADDED)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

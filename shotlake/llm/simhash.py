@@ -310,35 +310,35 @@ def band_keys(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
     return out
 
 
-def shingle_nodes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, node, n, bands): the 64-bit digest of a text's shingle set, its size, and its band keys; equal sets share all three."""
+def shingle_nodes(docs: DataFrame, words: int) -> DataFrame:
+    """(id, own, node, n, bands) of docs (id, own, text): the 64-bit digest of a text's shingle set, its size, and its band keys; equal sets share all three."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_set_of(t, words) for t in raw_texts(batch, text_col)]
+        sets = [_set_of(t, words) for t in raw_texts(batch)]
         full = [i for i, x in enumerate(sets) if len(x)]
         keys = np.zeros((len(sets), BANDS), np.uint64)
         if full:
             sizes = [len(sets[i]) for i in full]
             keys[full] = band_keys(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(_digests(sets)), pa.array([len(x) for x in sets], pa.int64()), bands], [id_col, "node", "n", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(_digests(sets)), pa.array([len(x) for x in sets], pa.int64()), bands], ["id", "own", "node", "n", "bands"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), run, f"{id_col} {kind}, node long, n long, bands array<bigint>", text_col)
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_texts(docs.select("id", "own", "text"), run, f"id {kind}, own long, node long, n long, bands array<bigint>")
 
 
 def _digests(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, hashes): the shingle sets of docs as bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_set_of(t, words) for t in raw_texts(batch, text_col)]
+        sets = [_set_of(t, words) for t in raw_texts(batch)]
         return pa.RecordBatch.from_arrays([pa.array(_digests(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
 
-    return map_texts(docs.select(text_col), run, "node long, hashes binary", text_col)
+    return map_texts(docs.select("text"), run, "node long, hashes binary")
 
 
 def sketches_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -386,7 +386,13 @@ def _forest(similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs (id, own, ...) that wanted (id, own) names; null ids name rows too."""
+    w = wanted.select(F.col("id").alias("_id"), F.col("own").alias("_own"))
+    return docs.join(w, F.col("id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")), "left_semi")
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): links between shingle sets (node, rep, n, bands) that meet in a band and have that similarity.
 
     As in `links`, crowded buckets are dealt in pairs of blocks and give a
@@ -395,8 +401,8 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity:
     keyed = distinct.select("node", "n", F.posexplode("bands").alias("band", "key"))
     sizes = settle(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     met = settle(keyed.join(sizes, ["band", "key"]))
-    asked = distinct.join(met.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias(id_col))
-    sets = settle(shingle_sets(docs.join(asked, id_col, "left_semi"), words, text_col).dropDuplicates(["node"]))
+    asked = distinct.join(met.select("node").distinct(), "node", "left_semi").select("rep.id", "rep.own")
+    sets = settle(shingle_sets(_rows_of(docs, asked), words).dropDuplicates(["node"]))
     usual = met.where(F.col("members") <= BAND_BUCKET)
     a = usual.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"))
     b = usual.select("band", "key", F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -416,18 +422,24 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity:
 
 
 def filtered(docs: DataFrame, words: int = FILTER_WORDS, similarity: float = FILTER_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, in all their columns, with the smallest id of their component; one row for each id.
+    """The rows of docs, in all their columns, with the smallest id of their component; one row for each id and text.
 
     Links are those of `similarity` in shingles. Fingerprints of such pairs
     differ in about 10 bits at 0.8, too many for a pigeonhole that still tells
-    texts apart, so candidates meet in bands of minima instead.
+    texts apart, so candidates meet in bands of minima instead. Null ids come
+    first; rows that share an id but not their text are documents of their own,
+    in the order of a hash of the text.
     """
-    nodes = settle(shingle_nodes(docs, words, id_col, text_col))
-    distinct = settle(nodes.groupBy("node").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    labels = components(similar_links(docs, distinct, words, similarity, id_col, text_col))
+    # input columns travel under names of their own, so none can clash with those used here
+    names = [f"in{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names).withColumn("id", F.col(of[id_col])).withColumn("own", F.xxhash64(of[text_col])).withColumn("text", F.col(of[text_col]))
+    nodes = settle(shingle_nodes(rows, words))
+    distinct = settle(nodes.groupBy("node").agg(F.min(F.struct("id", "own")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    labels = components(similar_links(rows.select("id", "own", "text"), distinct, words, similarity))
     named = distinct.join(labels, "node", "left").select("rep", F.coalesce("label", "node").alias("label"))
-    stay = named.groupBy("label").agg(F.min("rep").alias(id_col)).select(id_col).distinct()
-    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    stay = named.groupBy("label").agg(F.min("rep").alias("rep")).select("rep.id", "rep.own")
+    return _rows_of(rows, stay).dropDuplicates(["id", "own"]).select(*names).toDF(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -262,6 +262,44 @@ def test_quality(documents, empty):
     assert quality.assess(empty).count() == 0 and quality.filtered(empty).columns == empty.columns
 
 
+def test_quality_verdicts_by_each_distance(documents):
+    """Limits come from the references' own spread; each odd text is rejected by the distance named, usual ones stay."""
+    rng = random.Random(80)
+    usual = lambda: " ".join(rng.choice(["the", "of", "and", "to", "in", "a", "is", "house", "river", "Stone", "garden", "winter"]) for _ in range(300)) + "."
+    odd = {
+        "share": " ".join("".join(rng.choice("bcdfgklmnprst") for _ in range(6)) for _ in range(300)),
+        "word": " ".join(rng.choice(["with", "was", "be", "for", "on", "as", "house", "river", "garden", "winter"]) + rng.choice(["", ""]) for _ in range(300)),
+        "char": " ".join(rng.choice(["THE", "OF", "AND", "9182", "HOUSE"]) for _ in range(300)),
+        "mark": " ".join(rng.choice(["the", "of", "and", "to", "house", "river"]) + rng.choice(["***", "###", "%%"]) for _ in range(300)),
+    }
+    docs = documents([usual() for _ in range(60)] + list(odd.values()), langs=["en"] * 60 + [None] * len(odd))
+    measured = quality.measures(docs.withColumnRenamed("text", "body"), "body")
+    refs = quality.references(measured)
+    judged = rows_by_id(quality.judge(measured, refs))
+    assert all(judged[i].kept for i in range(60))
+    for i, name in enumerate(odd):
+        assert not judged[60 + i].kept and not judged[60 + i].base_failed
+        assert judged[60 + i][f"{name}_distance"] > refs[0]["limits"][name]
+    got = rows_by_id(quality.assess(docs))
+    assert {i for i, r in got.items() if not r.kept} == set(range(60, 64))
+    assert {r.doc_id for r in quality.filtered(docs).collect()} == set(range(60))
+
+
+def jensen_shannon(p, q):
+    p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+    m = (p + q) / 2
+    part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    return np.sqrt(max(0, (part(p) + part(q)) / 2))
+
+
+def test_distances_equal_their_definition(spark):
+    rng = random.Random(81)
+    pairs = [([rng.randrange(9) for _ in range(5)], [rng.randrange(1, 9) for _ in range(5)]) for _ in range(30)] + [([0] * 5, [1] * 5)]
+    got = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>").select("a", "b", quality.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    for r in got:
+        assert r.d == pytest.approx(jensen_shannon(r.a, r.b) if sum(r.a) else 1.0, abs=1e-9)
+
+
 def test_quality_counts_all_classes_and_words(documents):
     text = "Été ÀÉ 9٣ Ωß, das — más was nicht was una su xyzzyxyzzy Was"
     row = quality.measures(documents([text])).first()
@@ -385,6 +423,63 @@ def test_contexts_hold_distributions():
         assert np.allclose(np.exp2(-bits.astype(np.float64)).sum(1), 1, atol=1e-4)
 
 
+#: Names that operators use within, that hold a dot, or that differ in case only from none of theirs.
+CLASHING = ["a", "n", "j", "at", "before", "_k", "_doc", "_kept", "mix_note", "x.y", "id", "own", "node", "key", "line", "first", "block", "source_", "hash", "kept", "in0", "ref", "body", "classes", "n_words", "rep", "words"]
+
+
+@pytest.fixture
+def clashing(documents):
+    """Documents with columns of clashing names, a null id, rows that share an id, and a row given twice."""
+    rng = random.Random(90)
+    texts = [" ".join(rng.choice(["the", "of", "and", "river", "stone", "winter", "garden"]) + str(rng.randrange(40)) for _ in range(60)) for _ in range(12)] + ["", None]
+    docs = documents(texts, sources=["a", "b", None, "a"] * 3 + ["a", "b"])
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 3, None).when(F.col("doc_id") == 5, 4).otherwise(F.col("doc_id")))
+    docs = docs.unionAll(docs.where("doc_id = 7"))
+    return docs.select("*", *[F.lit(i + 70).alias(c) for i, c in enumerate(CLASHING)])
+
+
+def test_stages_carry_clashing_columns(clashing, spark):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clashing, "")
+        assert got.columns == clashing.columns, name
+        rows = got.collect()
+        assert all(r[c] == i + 70 for r in rows for i, c in enumerate(CLASHING)), name
+        # the twelve texts are unlike each other; a row given twice is one document to near_dedup
+        words = [r for r in rows if r.text]
+        assert len(words) == (12 if name == "near_dedup" else 13), name
+        assert sum(r.doc_id is None for r in words) == 1 and sum(r.doc_id == 4 for r in words) == 2, name
+    kept = line_dedup.dedup(clashing.where("doc_id = 4 or doc_id is null or doc_id = 1"))
+    assert all(r.text for r in kept.collect())
+    mixed = mixing.mix(clashing)
+    assert sorted(r.mix_position for r in mixed.collect()) == list(range(clashing.count()))
+    assert sentence_pieces.encode(clashing).count() == clashing.count()
+
+
+def test_mixing_equals_a_plain_schedule(documents):
+    """Positions against earliest deadline first, run block by block over all cycles."""
+    rng = random.Random(91)
+    sizes = {"a": 500, "b": 130, "c": 37, "d": 5}
+    weights = {"a": 3.0, "b": 2.0, "c": 1.5, "d": 0.5}
+    sources = [s for s, n in sizes.items() for _ in range(n)]
+    rng.shuffle(sources)
+    got = mixing.mix(documents(["x"] * len(sources), sources=sources), weights, block=4, cycle=20).collect()
+    units = mixing.shares(weights, 20)
+    q, want, place = sum(units.values()), [], 0
+    taken = dict.fromkeys(sizes, 0)
+    for slot in range(100_000):
+        if all(taken[s] * 4 >= sizes[s] for s in sizes):
+            break
+        free = [((taken[s] + 1) * q / units[s], s) for s in sizes if taken[s] * q // units[s] <= slot]
+        _, s = min((-(-(taken[s] + 1) * q // units[s]), s) for _, s in free)
+        n = max(0, min(4, sizes[s] - 4 * taken[s]))
+        want += [(place + i, s, taken[s], slot) for i in range(n)]
+        place += n
+        taken[s] += 1
+    assert sorted((r.mix_position, r.mix_source, r.mix_block, r.mix_slot) for r in got) == want
+
+
 # pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
