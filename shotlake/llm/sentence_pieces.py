@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is normalised as the model says (a space in front, spaces as U+2581)
-and cut into words in front of each run of U+2581; no piece crosses such a
-cut. `encode_words` explodes each distinct word's substrings of at most the
+and cut into words in front of each run of U+2581 and around the ASCII
+characters that stand in no piece; no piece crosses such a cut. `encode_words` explodes each distinct word's substrings of at most the
 longest piece's length, equi-joins them to the piece table, groups the edges
 by word and folds them with Spark's higher-order aggregate: for unigram models
 Viterbi, for BPE models the merges in order of score, leftmost first, which
@@ -11,7 +11,7 @@ alone give that kind's pieces. Characters without a piece become byte pieces.
 `encode` counts the words of all texts, has the lattice encode the most
 frequent ones (as many as fit a fixed bound), and broadcasts them; words beyond
 the bound, and words longer than the fold takes, are folded by the same rule
-in the task that meets them. `decode` joins pieces and bytes back to text.
+in the task that meets them, all new words of a batch at once. `decode` joins pieces and bytes back to text.
 
 Null and empty texts give no pieces; a text of any length is encoded whole.
 Repeated rows get equal pieces. U+2581 itself decodes to a space, as in the
@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,8 @@ from .common import let, map_texts, table, texts_of, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words that may be broadcast, and the longest word that the relational fold takes.
-MOST_WORDS = 1 << 17
+MOST_WORDS = 1 << 18
 LONGEST = 24
 #: Words kept by a Python worker beyond the broadcast ones.
 KEPT_WORDS = 150_000
@@ -54,6 +54,13 @@ class Pieces(NamedTuple):
     longest: int
     unknown: int
     cost: dict[str, float] = {}  # noqa: RUF012  names with scores turned round
+    cuts: str = ""  # ASCII characters that stand in no piece, as of a pattern's class: no piece crosses them
+
+    @property
+    def word(self) -> str:
+        """Pattern of a word: characters after a run of U+2581, such a run at the end, or one character that cuts."""
+        one = f"|[{self.cuts}]" if self.cuts else ""
+        return f"{SPACE}*[^{SPACE}{self.cuts}]+|{SPACE}+{one}"
 
 
 @lru_cache(maxsize=2)
@@ -67,7 +74,12 @@ def load(model: str = MODEL) -> Pieces:
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             known[name] = (i, sp.get_score(i))
     # the model's type stands in its serialised trainer settings: field 2, field 3
-    return Pieces(known, byte_ids, _model_type(sp.serialized_model_proto()) == 1, max(map(len, known)), sp.unk_id(), {name: -score for name, (_, score) in known.items()})
+    return Pieces(known, byte_ids, _model_type(sp.serialized_model_proto()) == 1, max(map(len, known)), sp.unk_id(), {name: -score for name, (_, score) in known.items()}, _cuts(known))
+
+
+def _cuts(known: dict) -> str:
+    held = {c for name in known for c in name}
+    return "".join(f"\\x{c:02x}" for c in range(128) if chr(c) not in held and chr(c) != " ")
 
 
 def _fields(data: bytes):
@@ -108,8 +120,8 @@ def normalised(text: Column) -> Column:
     return F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(normalised(text), F.lit(f"({SPACE}*[^{SPACE}]+|{SPACE}+)"), 1)
+def words_of(text: Column, pieces: Pieces) -> Column:
+    return F.regexp_extract_all(normalised(text), F.lit(f"({pieces.word})"), 1)
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -251,9 +263,9 @@ def _merge_long(word: str, known: dict[str, tuple[int, float]]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> DataFrame:
+def frequent_words(docs: DataFrame, pieces: Pieces, text_col: str = "text", most: int = MOST_WORDS) -> DataFrame:
     """(word): the words of up to LONGEST characters that are most frequent over all texts, at most `most`, whole frequencies at a time."""
-    counted = docs.select(F.explode(words_of(F.col(text_col))).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.select(F.explode(words_of(F.col(text_col), pieces)).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counted = written(counted.where("n > 1"))
     level = F.floor(F.log2("n") * 64)
     kept, least = 0, None
@@ -265,67 +277,183 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WOR
     return counted.where(level >= (1 << 30 if least is None else least)).select("word")
 
 
+class Merges(NamedTuple):
+    """The merges of a BPE piece table as arrays: which two symbols join to which piece, and how early.
+
+    Symbols are the pieces and all characters that stand in one; others never join.
+    """
+
+    of_char: np.ndarray
+    keys: np.ndarray
+    ranks: np.ndarray
+    made: np.ndarray
+    ids: np.ndarray
+
+
+NONE = np.int32(2**31 - 1)
+
+
+def merges(pieces: Pieces) -> Merges:
+    names = list(pieces.known)
+    number = {name: i for i, name in enumerate(names)}
+    for c in sorted({c for name in names for c in name}):
+        number.setdefault(c, len(number))
+    of_char = np.full(0x110000, -1, np.int32)
+    for name, i in number.items():
+        if len(name) == 1:
+            of_char[ord(name)] = i
+    costs = np.array([pieces.cost[name] for name in names])
+    rank = np.unique(costs, return_inverse=True)[1].astype(np.int32)
+    found = [(number[name[:k]] * len(number) + number[name[k:]], i) for i, name in enumerate(names) for k in range(1, len(name)) if name[:k] in number and name[k:] in number]
+    keys, made = np.array([k for k, _ in found] or [-1], np.int64), np.array([i for _, i in found] or [0], np.int32)
+    order = np.argsort(keys)
+    ids = np.array([pieces.known[name][0] for name in names] + [-1] * (len(number) - len(names) + 1), np.int32)
+    return Merges(of_char, keys[order], rank[made[order]], made[order], ids)
+
+
+def fold_words(words: list[str], pieces: Pieces, table: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, sizes): word i has the `sizes[i]` ids from `starts[i]`, those that fold_word gives.
+
+    All words merge at once, each its earliest pair, leftmost of equals, a
+    round. Words of more than 40 characters, and those with characters that are
+    no pieces, go to fold_word.
+    """
+    sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    parts: list[np.ndarray] = [np.zeros(0, np.int32)]
+    used = 0
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    alone = lengths > (0 if pieces.unigram else 40)
+    n_symbols = len(table.ids) - 1
+
+    def join(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = x.astype(np.int64) * n_symbols + y
+        at = np.minimum(np.searchsorted(table.keys, key), len(table.keys) - 1)
+        hit = (table.keys[at] == key) & (x >= 0) & (y >= 0)
+        return np.where(hit, table.ranks[at], NONE), table.made[at]
+
+    order = np.argsort(lengths, kind="stable")
+    order = order[~alone[order]]
+    for begin in range(0, len(order), 8192):
+        rows = order[begin : begin + 8192]
+        size = lengths[rows]
+        wide = int(size.max(initial=1))
+        symbols = np.full((len(rows), wide), -1, np.int32)
+        symbols[np.arange(wide) < size[:, None]] = table.of_char[np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        rank, made = join(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            best = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
+            live = rank[np.arange(len(rows)), best] < NONE if rank.shape[1] else np.zeros(len(rows), bool)
+            if not live.all():
+                over, n = rows[~live], size[~live]
+                own = np.arange(symbols.shape[1]) < n[:, None]
+                got = table.ids[symbols[~live]]
+                alone[over] = ((got < 0) & own).any(1)
+                sizes[over], starts[over] = n, used + np.cumsum(n) - n
+                parts.append(got[own])
+                used += len(parts[-1])
+                rows, size, best = rows[live], size[live], best[live]
+                symbols, rank, made = symbols[live], rank[live], made[live]
+            size = size - 1
+            every = np.arange(len(rows))
+            if not len(rows):
+                break
+            symbols[every, best] = made[every, best]
+            at = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, at + (at > best[:, None]), 1)
+            at = np.arange(rank.shape[1] - 1)
+            cut = at + (at >= best[:, None])
+            rank, made = np.take_along_axis(rank, cut, 1), np.take_along_axis(made, cut, 1)
+            for side in (best - 1, best):
+                fits = np.nonzero((side >= 0) & (side < rank.shape[1]))[0]
+                x = side[fits]
+                rank[fits, x], made[fits, x] = join(symbols[fits, x], symbols[fits, x + 1])
+    for i in np.nonzero(alone)[0].tolist():
+        parts.append(np.array(fold_word(words[i], pieces), np.int32))
+        starts[i], sizes[i] = used, len(parts[-1])
+        used += len(parts[-1])
+    return np.concatenate(parts), starts, sizes
+
+
 class Coder:
     """Encodes texts in a Python worker from the broadcast words, folding others as they come."""
 
     def __init__(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, pieces: Pieces):
-        self.pieces = pieces
+        self.pieces, self.table, self.word = pieces, merges(pieces), re.compile(pieces.word)
         self.base = (words, ids, sizes)
         self.reset()
 
     def reset(self) -> None:
         words, ids, sizes = self.base
         self.index = {w: i for i, w in enumerate(words)}
-        self.sizes = np.concatenate([sizes, np.zeros(KEPT_WORDS + 1, np.int64)])
-        self.starts = np.concatenate([np.cumsum(sizes) - sizes, np.zeros(KEPT_WORDS + 1, np.int64)])
-        self.flat = np.concatenate([ids, np.zeros(1 << 16, np.int32)])
-        self.used, self.n = len(ids), len(words)
-
-    def _learn(self, word: str) -> int:
-        own = fold_word(word, self.pieces)
-        if self.used + len(own) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(own)), np.int32)])
-        self.flat[self.used : self.used + len(own)] = own
-        self.sizes[self.n], self.starts[self.n] = len(own), self.used
-        self.used += len(own)
-        self.n += 1
-        self.index[word] = self.n - 1
-        return self.n - 1
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        words = WORD.findall(SPACE + text.replace(" ", SPACE))
-        parts = []
-        for s in range(0, len(words), 50_000):
-            if self.n - len(self.base[0]) > KEPT_WORDS - 50_000:
-                self.reset()
+        self.flat, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.index) - len(self.base[0]) > KEPT_WORDS:
+            self.reset()
+        fresh = list({w for w in words if w not in self.index})
+        ids, starts, sizes = fold_words(fresh, self.pieces, self.table)
+        self.index.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); words are taken 50,000 at a time, also those of one text."""
+        parts, sizes, pending = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), []
+
+        def flush() -> None:
+            words = [w for _, ws in pending for w in ws]
+            self._learn(words)
             get = self.index.get
-            at = np.array([i if (i := get(w)) is not None else self._learn(w) for w in words[s : s + 50_000]], np.int64)
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            parts.append(self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[at] - ends + sizes, sizes)])
-        return np.concatenate(parts)
-
-
-def _decoder(pieces: Pieces) -> list[bytes]:
-    """Bytes of each id; control pieces give none."""
-    size = max([i for i, _ in pieces.known.values()] + pieces.byte_ids) + 1
-    out = [b""] * size
-    for name, (i, _) in pieces.known.items():
-        out[i] = name.replace(SPACE, " ").encode()
-    for b, i in enumerate(pieces.byte_ids):
-        if i >= 0:
-            out[i] = bytes([b])
-    return out
-
-
-def decode_ids(ids: list[int], decoder: list[bytes]) -> bytes:
-    joined = b"".join([decoder[i] for i in ids])
-    return joined[1:] if joined.startswith(b" ") else joined
-
-
-_CODERS: dict[int, Coder] = {}
+            at = np.array([get(w) for w in words], np.int64)
+            own = self.sizes[at]
+            ends = np.cumsum(own)
+            parts.append(self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[at] - ends + own, own)])
+            of = np.repeat([i for i, _ in pending], [len(ws) for _, ws in pending])
+            np.add.at(sizes, of, own)
+            pending.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            words = self.word.findall(SPACE + text.replace(" ", SPACE))
+            for s in range(0, len(words), 50_000):
+                pending.append((i, words[s : s + 50_000]))
+                held += len(pending[-1][1])
+                if held >= 50_000:
+                    flush()
+                    held = 0
+        if pending:
+            flush()
+        return np.concatenate(parts), sizes
+
+
+class Decoder:
+    """Bytes of piece ids, by flat tables; control pieces give none."""
+
+    def __init__(self, pieces: Pieces):
+        names = [b""] * (max([i for i, _ in pieces.known.values()] + pieces.byte_ids) + 1)
+        for name, (i, _) in pieces.known.items():
+            names[i] = name.replace(SPACE, " ").encode()
+        for b, i in enumerate(pieces.byte_ids):
+            if i >= 0:
+                names[i] = bytes([b])
+        self.sizes = np.fromiter(map(len, names), np.int64, len(names))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(names), np.uint8)
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """One text for each of `sizes`, without the space in front that encoding adds."""
+        own = self.sizes[ids]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        joined = self.bytes[np.arange(total) + np.repeat(self.starts[ids] - ends + own, own)].tobytes()
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [joined[a + 1 : b] if joined[a : a + 1] == b" " and b > a else joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+_CODERS: dict[int, tuple[Coder, Decoder]] = {}
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, carried: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
@@ -334,24 +462,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     counted: the texts whose frequent words are encoded beforehand, by default docs.
     """
     pieces = load(model)
-    coded = encode_words(frequent_words(docs if counted is None else counted, text_col), pieces).toPandas().sort_values("word")
-    words = coded["word"].tolist()
-    sizes = np.array([len(x) for x in coded["ids"]], np.int64)
-    flat = np.concatenate([np.asarray(x, np.int32) for x in coded["ids"]]) if words else np.zeros(0, np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((words, flat, sizes, pieces))
+    # at most MOST_WORDS words come to the driver, to be broadcast
+    coded = encode_words(frequent_words(docs if counted is None else counted, pieces, text_col), pieces).toArrow().combine_chunks().sort_by("word")
+    lists = coded.column("ids").combine_chunks()
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((coded.column("word").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), sizes, pieces))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         key = shared.id if hasattr(shared, "id") else id(shared)
         if key not in _CODERS:
             _CODERS.clear()
-            _CODERS[key] = Coder(*shared.value)
-        coder = _CODERS[key]
-        decoder = _decoder(shared.value[3])
-        ids = [coder.encode(t) for t in texts_of(batch, text_col)]
-        offsets = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-        digest = pa.array([hashlib.sha256(decode_ids(x.tolist(), decoder)).hexdigest() for x in ids])
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(offsets).astype(np.int64)), lists, digest, *[batch.column(c) for c in carried]], [id_col, "n_pieces", "ids", "decoded_sha256", *carried])
+            _CODERS[key] = Coder(*shared.value), Decoder(shared.value[3])
+        coder, decoder = _CODERS[key]
+        ids, sizes = coder.encode(texts_of(batch, text_col))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+        digest = pa.array([hashlib.sha256(x).hexdigest() for x in decoder.decode(ids, sizes)], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(sizes), lists, digest, *[batch.column(c) for c in carried]], [id_col, "n_pieces", "ids", "decoded_sha256", *carried])
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
@@ -360,11 +487,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """(id_col, text) from piece ids; null ids give null, bytes that are no UTF-8 give U+FFFD."""
-    decoder = _decoder(load(model))
+    decoder = Decoder(load(model))
 
     def run(batches):
         for batch in batches:
-            texts = [None if x is None else decode_ids(x, decoder).decode("utf-8", "replace") for x in batch.column(ids_col).to_pylist()]
+            lists = batch.column(ids_col)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            texts = [x.decode("utf-8", "replace") if there else None for x, there in zip(found, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()

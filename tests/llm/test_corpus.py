@@ -49,6 +49,14 @@ def test_lattice_folds(spark):
     assert all(score(got[w]) == pytest.approx(score(sentence_pieces.fold_word(w, uni))) for w in words)
 
 
+def test_words_fold_at_once_as_one_by_one():
+    pieces = sentence_pieces.load()
+    rng = random.Random(21)
+    words = ["▁" + "".join(rng.choice("abcdeghilnorstuaaa①é😀\n▁") for _ in range(rng.randrange(45))) for _ in range(3000)] + ["▁", "aaaaaaa", "x" * 90, "▁▁▁▁▁▁▁"]
+    ids, starts, sizes = sentence_pieces.fold_words(words, pieces, sentence_pieces.merges(pieces))
+    assert [ids[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [sentence_pieces.fold_word(w, pieces) for w in words]
+
+
 # 2
 def brute_repeats(texts, n=100):
     seen, out = set(), []
