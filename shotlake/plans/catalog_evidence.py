@@ -230,7 +230,7 @@ def align(spark, d):
     return E.align_segments(V.segments(spark, d), V.shots(spark, d))
 
 
-LINES_OF_SHOTS = "ln as (select shot.video_id, shot.shot_id, line.line_ord, line.text, line.confidence from shot join line on line.doc_id % 200 = shot.shot_id and line.video_id = 'src' || cast(cast(substr(shot.video_id,2) as int) as varchar) where line.line_ord < 4)"
+LINES_OF_SHOTS = "ln as (select shot.video_id, shot.shot_id, line.line_ord, line.text, line.confidence from shot join line on line.doc_id % 200 = shot.shot_id and line.video_id = 'src' || cast(cast(substr(shot.video_id,2) as int) as varchar))"
 
 
 def _shot_lines(spark, d):
