@@ -19,11 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(sc) -> str:
+    """The session's checkpoint folder. Only a local session without one may use a folder of its own."""
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
@@ -65,10 +73,7 @@ def unsigned_hex(x: Column) -> Column:
 
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the session's shared folder; later reads take only the columns they need."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession.sparkContext)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

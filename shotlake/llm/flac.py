@@ -349,6 +349,11 @@ def _residuals(joined, signed, kind, size, body, end, start, out, coded) -> None
         word = three[at >> 3].astype(np.int64)
         return (word >> (24 - (at & 7) - width)) & ((1 << width) - 1)
 
+    def wide(at: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Up to 32 bits."""
+        head = np.minimum(width, 16)
+        return read(at, head) << (width - head) | read(at + head, width - head)
+
     lpc = kind[coded] >= 32
     order = np.where(lpc, (kind[coded] & 31) + 1, kind[coded] - 8).astype(np.int64)
     pos = first * 8 + 8
@@ -369,8 +374,8 @@ def _residuals(joined, signed, kind, size, body, end, start, out, coded) -> None
             at += precision
         pos[f] = at
     method, parts = read(pos, 2), read(pos + 2, 4)
-    if (method > 0).any():
-        raise ValueError("only 4-bit Rice parameters are read")
+    if (method > 1).any():
+        raise ValueError("unknown residual coding")
     pos = pos + 6
     sizes = size[coded]
     rank, running = _lockstep(sizes)
@@ -379,24 +384,37 @@ def _residuals(joined, signed, kind, size, body, end, start, out, coded) -> None
     place, base = pos[rank], start[coded][rank]
     o_r, ps_r = order[rank], part_size[rank]
     simple = bool((parts == 0).all())
-    ks = k[rank]
+    ks, bits_of = k[rank], 4 + method[rank]
+    # width of the samples in an escaped partition, else -1
+    escape, escapes, long = np.full(len(coded), -1, np.int64), False, bool(method.any())
     for i in range(int(sizes.max())):
         m = int(running[i])
         if not simple or i == 0 or i <= int(o_r[:m].max()):
             fresh = np.nonzero((i >= o_r[:m]) & ((i == o_r[:m]) | (i % ps_r[:m] == 0)))[0]
             if len(fresh):
-                ks[fresh] = read(place[fresh], 4)
-                if (ks[fresh] == 15).any():
-                    raise ValueError("escaped partitions aren't read")
-                place[fresh] += 4
+                ks[fresh] = read(place[fresh], bits_of[fresh])
+                place[fresh] += bits_of[fresh]
+                escape[fresh] = -1
+                escaped = fresh[ks[fresh] == (1 << bits_of[fresh]) - 1]
+                if len(escaped):
+                    ks[escaped], escape[escaped], escapes = 0, read(place[escaped], 5), True
+                    place[escaped] += 5
             active = np.nonzero(i >= o_r[:m])[0]
             if not len(active):
                 continue
             at, kk, to = place[active], ks[active], base[active] + i
         else:
             active, at, kk, to = slice(0, m), place[:m], ks[:m], base[:m] + i
-        stop = nxt[at]
-        z = (stop - at) << kk | read(stop + 1, kk)
+        if escapes and ((plain := escape[active] < 0) == False).any():  # noqa: E712
+            active = np.arange(m)[active]
+            raw, to_raw = active[~plain], to[~plain]
+            width = escape[raw]
+            value = wide(place[raw], width)
+            out[to_raw] = value - ((value >> np.maximum(width - 1, 0) & 1) << width)
+            place[raw] += width
+            active, at, kk, to = active[plain], at[plain], kk[plain], to[plain]
+        stop = nxt[at].astype(np.int64)
+        z = (stop - at) << kk | (wide(stop + 1, kk) if long else read(stop + 1, kk))
         out[to] = (z >> 1) ^ -(z & 1)
         place[active] = stop + 1 + kk
     for f in np.nonzero(~lpc & (order > 0))[0].tolist():

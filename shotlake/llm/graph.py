@@ -26,21 +26,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of edges (a, b): label is the smallest node of its component.
 
-    Each round is checkpointed. Self-links and repeated edges are allowed; an
+    Each round is checkpointed; rounds end by themselves, after about the square
+    of the logarithm of the nodes. Self-links and repeated edges are allowed; an
     empty edge table gives an empty result.
     """
     now = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
     state = _state(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
-        after = settle(_star(_star(now, large=True), large=False))
-        now, last, state = after, state, _state(after)
-        if state == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    last = None
+    while state[0] and state != last:
+        now = settle(_star(_star(now, large=True), large=False))
+        last, state = state, _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
@@ -119,25 +119,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> tuple[tuple[str, bytes], ...]:
-    """About `texts` labelled texts of each language, chosen by a hash of the text over all training rows; `size` bounds each language's bytes."""
+    """About `texts` labelled texts of each language, chosen by a hash of the text over all training rows, in the order of that hash up to `size` bytes a language."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not counts:
         return ()
     limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, texts / n))])
     place = F.pmod(F.xxhash64(text_col, F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.where(place < limits[F.col(lang_col)]).select(lang_col, text_col, place.alias("place")).toPandas()
-    rows = rows.sort_values(["place", text_col])
-    out: list[tuple[str, bytes]] = []
-    for lang, group in rows.groupby(lang_col):
-        used = 0
-        for text in group[text_col]:
-            raw = text.encode()
-            if used and used + len(raw) > size:
-                continue
-            used += len(raw)
-            out.append((lang, raw))
-    return tuple(out)
+    chosen = usable.where(place < limits[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
+    # the bound on bytes holds before anything comes to the driver; a first text beyond it is cut
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    sized = chosen.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum(F.octet_length("text")).over(order))
+    bounded = sized.where((F.col("before") <= size) | (F.col("n") == 1)).select("lang", "n", F.left("text", F.lit(size)).alias("text"))
+    return tuple((r.lang, r.text.encode()[:size]) for r in bounded.orderBy("lang", "n").collect())
 
 
 def identify(docs: DataFrame, sample: tuple[tuple[str, bytes], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from .common import map_texts, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the network labels: the kinds of the base rules, and secrets, which no rule finds.
+LABELLED = (*KINDS, "secret")
 WIDTH, STRIDE = 128, 64
-HIDDEN = 12
+HIDDEN = 16
 #: Windows that go through the network at once.
 TOGETHER = 512
 
@@ -36,6 +38,10 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
+#: A phone number that the network may add: a base one, or without a plus three groups whose first two can begin an area and an exchange.
+SPACED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]|(?:\([2-9][0-9]{2}\)[\x20.-]?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}")
+#: A secret: one run of characters that turns often between digits and letters.
+SECRET, TURN = re.compile(r"[A-Za-z0-9+/_=-]{20,63}"), re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -102,7 +108,7 @@ for _i, _c in enumerate("@.+-()% _,:;/=#\n\"'"):
     CLASS_OF[ord(_c)] = 5 + _i
 N_CLASSES = int(CLASS_OF.max()) + 1
 #: Labels: 0 outside, then begin and inside of each kind.
-N_LABELS = 1 + 2 * len(KINDS)
+N_LABELS = 1 + 2 * len(LABELLED)
 
 
 def classes(text: str) -> np.ndarray:
@@ -232,7 +238,7 @@ class Tagger:
         return losses
 
 
-def labelled(n: int, length: int = 72, seed: int = 3) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
+def labelled(n: int, length: int = 96, seed: int = 3) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
     """Generated texts of exactly `length` characters with their labelled spans, and look-alikes without one."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -246,7 +252,7 @@ def labelled(n: int, length: int = 72, seed: int = 3) -> tuple[list[str], list[l
         return sep.join(body[i : i + 4] for i in range(0, 16, 4))
 
     def phone() -> str:
-        a, b, c = num(3), num(3), num(4)
+        a, b, c = str(rng.integers(2, 10)) + num(2), str(rng.integers(2, 10)) + num(2), num(4)
         return pick([f"+{num(1)} ({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"+{num(2)}{a}{b}{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"])
 
     def email() -> str:
@@ -255,8 +261,13 @@ def labelled(n: int, length: int = 72, seed: int = 3) -> tuple[list[str], list[l
     def ip() -> str:
         return ".".join(str(rng.integers(256)) for _ in range(4))
 
-    made = {"email": email, "ip": ip, "card": card, "phone": phone}
-    plain = [lambda: num(int(rng.integers(1, 8))), lambda: f"version {num(1)}.{num(1)}", lambda: f'"{num(3)}ab{num(6)}ef{num(5)}c{num(4)}"', lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{num(24)}", lambda: f"@{word()}", lambda: f"{num(4)}-{num(2)}-{num(2)}"]
+    def secret() -> str:
+        letters, size = pick([("0123456789abcdef", 40), ("0123456789abcdef", 32), ("0123456789ABCDEF", 40), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", int(rng.integers(24, 44)))])
+        return "".join(pick(letters) for _ in range(size))
+
+    cue = {"secret": lambda: pick(['token = "', 'TOKEN = "', "key: ", 'password="', "secret ", ""])}
+    made = {"email": email, "ip": ip, "card": card, "phone": phone, "secret": secret}
+    plain = [lambda: num(int(rng.integers(1, 8))), lambda: f"version {num(1)}.{num(1)}", lambda: f"ref {pick('01')}{num(2)}-{pick('01')}{num(2)}-{num(4)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: "".join(word() for _ in range(6)), lambda: f"{num(16)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{num(24)}", lambda: f"@{word()}", lambda: f"{num(4)}-{num(2)}-{num(2)}"]
     texts, spans = [], []
     for _ in range(n):
         text, own = word()[: int(rng.integers(0, 9))], []
@@ -264,8 +275,9 @@ def labelled(n: int, length: int = 72, seed: int = 3) -> tuple[list[str], list[l
             text += pick([" ", " ", " ", ", ", ". ", "\n", "### ", "&&& ", ": "])
             draw = rng.random()
             if draw < 0.22:
-                kind = pick(KINDS)
+                kind = pick(LABELLED)
                 piece = made[kind]()
+                text += cue.get(kind, str)()
                 own.append((kind, len(text), len(text) + len(piece)))
                 text += piece
             elif draw < 0.32:
@@ -284,7 +296,7 @@ def trained(samples: int = 1400) -> dict[str, np.ndarray]:
     y = np.zeros(x.shape, np.int64)
     for row, own in enumerate(spans):
         for kind, a, b in own:
-            y[row, a:b] = 2 + 2 * KINDS.index(kind)
+            y[row, a:b] = 2 + 2 * LABELLED.index(kind)
             y[row, a] -= 1
     net = Tagger()
     net.fit(x, y)
@@ -300,8 +312,9 @@ def _valid(kind: str, piece: str) -> bool:
     digits = _only_digits(piece)
     if kind == "card":
         return bool(DIGITS.fullmatch(piece)) and 16 <= len(digits) <= 19 and luhn(digits)
-    grouped = re.fullmatch(r"[+(]?[0-9][\x20().0-9-]+[0-9]", piece) and re.search(r"[\x20().-]", piece)
-    return bool(grouped) and 8 <= len(digits) <= 15
+    if kind == "secret":
+        return bool(SECRET.fullmatch(piece)) and min(len(digits), sum(c.isalpha() for c in piece)) >= 4 and len(TURN.findall(piece)) >= 6
+    return bool(SPACED.fullmatch(piece)) and 8 <= len(digits) <= 15
 
 
 def schedule(found: dict[tuple[str, int, int], float]) -> list[tuple[str, int, int]]:
@@ -349,8 +362,8 @@ def method_spans(net: Tagger, texts: list[str]) -> list[list[tuple[str, int, int
                 while q < WIDTH and tags[q] == 2 + 2 * kind:
                     q += 1
                 a, b = start + p, min(start + q, len(text))
-                if a < b and (p > 0 or start == 0) and (q < WIDTH or b == len(text)) and _valid(KINDS[kind], text[a:b]):
-                    key = (KINDS[kind], a, b)
+                if a < b and (p > 0 or start == 0) and (q < WIDTH or b == len(text)) and _valid(LABELLED[kind], text[a:b]):
+                    key = (LABELLED[kind], a, b)
                     found[i][key] = max(found[i].get(key, 0.0), float(gain[p:q].sum()))
                 p = q
         rows.clear(), work.clear()
@@ -378,7 +391,7 @@ def combine(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]])
         i = int(np.searchsorted(starts, b, side="left"))
         if i == 0 or reach[i - 1] <= a:
             free.append((kind, a, b))
-    return sorted(set(base) | set(free), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    return sorted(set(base) | set(free), key=lambda s: (LABELLED.index(s[0]), s[1], s[2]))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -386,7 +399,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts are of base spans."""
+    """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans): the counts of kinds are of base spans, n_spans of all."""
     weights = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -398,10 +411,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
         digest = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base])
         added = pa.array([len(e) - len(b) for e, b in zip(every, base, strict=True)], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(id_col), *counts, digest, pa.array([_joined(e) for e in every]), added], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+        return pa.RecordBatch.from_arrays([batch.column(id_col), *counts, digest, pa.array([_joined(e) for e in every]), added, pa.array([len(e) for e in every], pa.int64())], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = f"{id_col} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     return map_texts(docs.select(id_col, text_col), run, schema, text_col)
 
 
