@@ -41,7 +41,7 @@ SPACE = "▁"
 MOST_WORDS = 1 << 18
 LONGEST = 24
 #: Words kept by a Python worker beyond the broadcast ones.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 NEVER = float("inf")
 
 
