@@ -164,6 +164,10 @@ class ModelCache:
 models = ModelCache(4)
 
 
+def of_worker(key: str, make: Callable[[], Any]) -> Any:
+    return models.get(key, make)
+
+
 class EndpointPool:
     """Clients taken in turn. One that fails rests for `rest_s`; a request goes on to the next, except where it was refused for itself."""
 
@@ -225,7 +229,7 @@ def mapped(rows: DataFrame, make: Callable[[], Any], key: str, use: Callable[[An
     """Rows through a plug-in, an Arrow batch at a time; the plug-in is made once for each worker."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = models.get(key, make)
+        model = of_worker(key, make)
         for batch in batches:
             yield use(model, batch)
 
