@@ -277,6 +277,31 @@ def test_licences_of_several_notices(documents):
     assert found[3] == {"apache-2.0"} and found[4] == {label for label, _, _ in licenses.TEMPLATES}
 
 
+def test_templates_against_every_place(documents):
+    """The index against all templates at all places of noisy texts."""
+    rng = random.Random(61)
+    index = licenses.Index()
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            own = list(rng.choice(index.templates)[1])
+            for _ in range(rng.randrange(len(own) // 3 + 1)):
+                own[rng.randrange(len(own))] = rng.choice([b"x", b"the", b"license"])
+            words += [w.decode() for w in own[rng.randrange(3) :]] + [rng.choice(["and", "software", "y"]) for _ in range(rng.randrange(6))]
+        texts.append(" ".join(words))
+    got = rows_by_id(licenses.scan(documents(texts)))
+    for i, t in enumerate(texts):
+        words, want = licenses.words_of(t.encode()), {}
+        for label, wording, keys in index.templates:
+            for at in range(-len(wording), len(words)):
+                share = sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(wording)) / len(wording)
+                here = words[max(0, at - 3) : max(0, at + len(wording) + 3)]
+                if share >= licenses.MIN_SHARE and all(any(here[j : j + len(k)] == k for j in range(len(here))) for k in keys):
+                    want[label] = max(want.get(label, (0.0, 0)), (share, -at))
+        assert got[i].found == ",".join(f"{label}:{-at}:{share:.3f}" for label, (share, at) in sorted(want.items()))
+
+
 # 7
 def test_quality(documents, empty):
     rng = random.Random(8)
@@ -558,6 +583,38 @@ def test_columns_that_sql_can_say(spark, name):
     assert bag(got) == bag(expected(queries.ORACLES[name], "sf0.001"))
 
 
+def test_code_lengths_against_counts():
+    """Code lengths of small texts from dictionaries of contexts."""
+    rng = random.Random(101)
+    samples = {x: [bytes(rng.choice(letters) for _ in range(rng.randrange(5, 60))) for _ in range(8)] for x, letters in (("a", b"abc ab"), ("b", b"bcd é\xc3 "))}
+    model = language_id.Model(samples)
+    texts = [bytes(rng.choice(b"abcdzx \xc3") for _ in range(rng.randrange(1, 30))) for _ in range(20)]
+    flat = np.full(model.n, 1 / 256)
+    flat[0] = max(model.n_rare, 1e-3) / 256
+    want = np.zeros((len(texts), 2))
+    for j, lang in enumerate(model.langs):
+        counts = {}
+        for t in samples[lang]:
+            sym = [int(model.symbol[b]) for b in b"\n" * model.order + t]
+            for i in range(model.order, len(sym)):
+                for k in range(model.order + 1):
+                    counts.setdefault(tuple(sym[i - k : i]), np.zeros(model.n))[sym[i]] += 1
+
+        def row(context, counts=counts):
+            below = flat if not context else row(context[1:])
+            if context not in counts:
+                return below
+            c = counts[context]
+            kinds, rest = (c > 0).sum(), np.where(c > 0, 0, below)
+            p = c / (c.sum() + kinds) + (rest * kinds / (c.sum() + kinds) / rest.sum() if rest.sum() else 0)
+            return p / p.sum()
+
+        for i, t in enumerate(texts):
+            sym = [int(model.symbol[b]) for b in b"\n" * model.order + t]
+            want[i, j] = sum(-np.log2(row(tuple(sym[k - model.order : k]))[sym[k]]) for k in range(model.order, len(sym)))
+    assert np.allclose(model.code_lengths(texts), want, atol=1e-2)
+
+
 # pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
@@ -571,6 +628,54 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count() > 100
 
 
+def test_pipeline_equals_plain_python(spark, tmp_path, documents):
+    """All stages over planted junk, repeated lines and near copies, against brute force (too few documents for distances)."""
+    import corpus_pipeline
+
+    rng = random.Random(77)
+    word = lambda: rng.choice(["the", "of", "and", "stone", "river", "winter", "garden"]) + rng.choice("abcdefghij") + str(rng.randrange(90))
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts = ["\n".join(line(rng.randrange(12, 30)) for _ in range(5)) for _ in range(12)]
+    texts += [texts[0], texts[1].replace(texts[1].split()[40], "changed"), "too few words", "again and again " * 20, None]
+    texts += [texts[2].split("\n")[1] + "\n" + line(25), texts[3].split("\n")[0][:-1] + "\n" + line(25) + "\nAll rights reserved.", line(30) + "\nAll rights reserved."]
+    sources = [rng.choice("ab") for _ in texts]
+
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def base_ok(t):
+        w, places = words(t), {}
+        for i in range(len(w) - 4):
+            places.setdefault(tuple(w[i : i + 5]), []).append(i)
+        cover = {k for v in places.values() if len(v) > 1 for i in v for k in range(i, i + 5)}
+        return len(w) >= 10 and 100 * len(cover) <= 20 * len(w)
+
+    docs = {i: t for i, t in enumerate(texts) if base_ok(t)}
+    seen, cleaned = [], {}
+    for i, t in docs.items():
+        left = []
+        for x in t.split("\n"):
+            if not x.strip() or not any(x == y or (min(len(x), len(y)) >= line_dedup.MIN_CHARS and abs(len(x) - len(y)) <= 2 and edit(x, y) <= 2) for y in seen):
+                left.append(x)
+            seen.append(x)
+        cleaned[i] = "\n".join(left)
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := [x.lower() for x in words(t)]) else set() for i, t in cleaned.items()}
+    label = {i: i for i in cleaned}
+    for i in cleaned:
+        for j in cleaned:
+            a, b = shingles[i], shingles[j]
+            if i < j and (len(a & b) / len(a | b) if a or b else 1.0) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    kept = {i: cleaned[i] for i in cleaned if label[i] == i}
+    documents(texts, sources=sources).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_by_id(corpus_pipeline.run(spark, str(tmp_path)))
+    assert set(got) == set(kept)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    assert all(list(got[i].ids) == sp.encode(t) and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items())
+    assert sorted(r.mix_position for r in got.values()) == list(range(len(kept)))
+
+
 def test_pieces_keep_the_schedule(documents):
     import corpus_pipeline
 
