@@ -127,6 +127,26 @@ def shot_meta(shots: DataFrame) -> DataFrame:
     return last_wins(shots.select("shot_key", "video_id", "start_ms", "end_ms", "ord"), "shot_key").withColumn("mid_ms", F.expr("(start_ms + end_ms) div 2"))
 
 
+def loaded(rows: DataFrame, key: str, *required: str) -> DataFrame:
+    """The rows of a table that must be whole: a repeated key, or a null in it or in a required column, is an error."""
+    absent = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in (key, *required)]
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys"), *absent).first().asDict()
+    if any(told[f"no_{c}"] for c in (key, *required)) or told["n"] != told["keys"]:
+        raise ValueError(f"{key} repeats or values are missing: {told}")
+    return rows
+
+
+def load_chronicle(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The evidence table of all shots, one row each."""
+    return loaded(read_manifest(spark, path, schema).withColumn("shot_key", F.concat_ws(":", "video_id", "shot_id")), "shot_key", "video_id", "shot_id")
+
+
+def load_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The answer ledger by shot; of rows with one key the last of the file."""
+    rows = read_manifest(spark, path, schema).withColumn("ord", F.monotonically_increasing_id())
+    return last_wins(rows, "shot_key").drop("ord")
+
+
 def ok_rows(rows: DataFrame, key: str) -> DataFrame:
     """Rows of status ok, the last of each key."""
     return last_wins(rows.where("status = 'ok'"), key)

@@ -22,6 +22,7 @@ from shotlake.operators import ranking as R
 from shotlake.operators import retrieval as X
 from shotlake.operators import service as S
 from shotlake.sources import indexes as N
+from shotlake.sources import manifests as M
 from shotlake.sources import reports
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -54,6 +55,34 @@ def test_shards(spark, tmp_path, kind):
         N.encode_shard(arrays[f"shard-00000.{kind}"], "txt")
 
 
+def test_manifests(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "key string, n int")
+    M.append(rows, f"{tmp_path}/m", "key")
+    M.append(rows.where("n = 1").withColumn("key", F.lit("d")), f"{tmp_path}/m", "key")
+    assert M.rewrite(spark, f"{tmp_path}/m", f"{tmp_path}/n", F.col("n") > 1) == 3
+    assert [r.key for r in spark.read.parquet(f"{tmp_path}/n").collect()] == ["b"]
+    with pytest.raises(Exception, match="key is null"):
+        M.append(rows.withColumn("key", F.lit(None).cast("string")), f"{tmp_path}/m", "key")
+    assert M.shard_path("x/name.jsonl", "w1") == "x/name.w1.jsonl" and M.shard_path("x/name.jsonl", "") == "x/name.jsonl"
+    (tmp_path / "ledger.jsonl").write_text('{"shot_key": "a", "n": 1}\n\nbroken\n{"shot_key": "b", "n": 2}\n{"shot_key": "a", "n": 3}\n')
+    (tmp_path / "ledger.w1.jsonl").write_text('{"shot_key": "c", "n": 4}\n')
+    schema = "shot_key string, n int"
+    assert sorted((r.shot_key, r.n) for r in M.load_ledger(spark, f"{tmp_path}/ledger.jsonl", schema).collect()) == [("a", 3), ("b", 2)]
+    assert M.merged_shards(spark, f"{tmp_path}/ledger.jsonl", schema).count() == 4
+    (tmp_path / "chronicle.jsonl").write_text('{"video_id": "v", "shot_id": 0}\n{"video_id": "v", "shot_id": 1}\n')
+    assert M.load_chronicle(spark, f"{tmp_path}/chronicle.jsonl", "video_id string, shot_id int").count() == 2
+    (tmp_path / "twice.jsonl").write_text('{"video_id": "v", "shot_id": 0}\n{"video_id": "v", "shot_id": 0}\n')
+    with pytest.raises(ValueError, match="repeats"):
+        M.load_chronicle(spark, f"{tmp_path}/twice.jsonl", "video_id string, shot_id int")
+    M.write_json(f"{tmp_path}/r.json", {"a": 1})
+    assert not (tmp_path / "r.json.part").exists()
+    (tmp_path / "v").mkdir()
+    for name in ("b.MP4", "a.mp4", "c.txt"):
+        (tmp_path / "v" / name).write_bytes(name.encode())
+    assert [r.path.rpartition("/")[2] for r in M.discover(spark, f"{tmp_path}/v", [".mp4"]).collect()] == ["a.mp4", "b.MP4"]
+    assert {r.sha256 for r in M.checksums(spark, f"{tmp_path}/v").collect()} == {hashlib.sha256(n).hexdigest() for n in (b"b.MP4", b"a.mp4", b"c.txt")}
+
+
 def test_dense_index(spark, tmp_path):
     rng = np.random.default_rng(2)
     vecs = rng.normal(size=(30, 5))
