@@ -311,7 +311,7 @@ def band_keys(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
 
 
 def shingle_nodes(docs: DataFrame, words: int) -> DataFrame:
-    """(id, own, node, n, bands) of docs (id, own, text): the 64-bit digest of a text's shingle set, its size, and its band keys; equal sets share all three."""
+    """(key, node, n, bands) of docs (id, own, text), key a struct of id and own: the 64-bit digest of a text's shingle set, its size, and its band keys; equal sets share all three."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [_set_of(t, words) for t in raw_texts(batch)]
@@ -324,7 +324,8 @@ def shingle_nodes(docs: DataFrame, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(_digests(sets)), pa.array([len(x) for x in sets], pa.int64()), bands], ["id", "own", "node", "n", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_texts(docs.select("id", "own", "text"), run, f"id {kind}, own long, node long, n long, bands array<bigint>")
+    nodes = map_texts(docs.select("id", "own", "text"), run, f"id {kind}, own long, node long, n long, bands array<bigint>")
+    return nodes.select(F.struct("id", "own").alias("key"), "node", "n", "bands")
 
 
 def _digests(sets: list[np.ndarray]) -> np.ndarray:
@@ -386,12 +387,6 @@ def _forest(similarity: float):
     return run
 
 
-def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs (id, own, ...) that wanted (id, own) names; null ids name rows too."""
-    w = wanted.select(F.col("id").alias("_id"), F.col("own").alias("_own"))
-    return docs.join(w, F.col("id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")), "left_semi")
-
-
 def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): links between shingle sets (node, rep, n, bands) that meet in a band and have that similarity.
 
@@ -401,8 +396,8 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity:
     keyed = distinct.select("node", "n", F.posexplode("bands").alias("band", "key"))
     sizes = settle(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     met = settle(keyed.join(sizes, ["band", "key"]))
-    asked = distinct.join(met.select("node").distinct(), "node", "left_semi").select("rep.id", "rep.own")
-    sets = settle(shingle_sets(_rows_of(docs, asked), words).dropDuplicates(["node"]))
+    asked = distinct.join(met.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("key"))
+    sets = settle(shingle_sets(docs.join(asked, "key", "left_semi"), words).dropDuplicates(["node"]))
     usual = met.where(F.col("members") <= BAND_BUCKET)
     a = usual.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"))
     b = usual.select("band", "key", F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -434,12 +429,14 @@ def filtered(docs: DataFrame, words: int = FILTER_WORDS, similarity: float = FIL
     names = [f"in{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
     rows = docs.toDF(*names).withColumn("id", F.col(of[id_col])).withColumn("own", F.xxhash64(of[text_col])).withColumn("text", F.col(of[text_col]))
+    # structs with equal null ids are equal, so one plain key serves joins and the last grouping
+    keyed = rows.withColumn("key", F.struct("id", "own"))
     nodes = settle(shingle_nodes(rows, words))
-    distinct = settle(nodes.groupBy("node").agg(F.min(F.struct("id", "own")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    labels = components(similar_links(rows.select("id", "own", "text"), distinct, words, similarity))
+    distinct = settle(nodes.groupBy("node").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    labels = components(similar_links(keyed.select("key", "text"), distinct, words, similarity))
     named = distinct.join(labels, "node", "left").select("rep", F.coalesce("label", "node").alias("label"))
-    stay = named.groupBy("label").agg(F.min("rep").alias("rep")).select("rep.id", "rep.own")
-    return _rows_of(rows, stay).dropDuplicates(["id", "own"]).select(*names).toDF(*docs.columns)
+    stay = named.groupBy("label").agg(F.min("rep").alias("key")).select("key")
+    return keyed.drop("id", "own", "text").join(stay, "key", "left_semi").dropDuplicates(["key"]).select(*names).toDF(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
