@@ -60,7 +60,7 @@ def spec_of(reply: Column, query: Column, most: int) -> Column:
     """A reply's search spec: lists of at most `most` items, confidence held to 0 to 1; the fallback where it can't be read or holds nothing to search for."""
     x = bare_json(reply)
     confidence = T.clamped(F.get_json_object(x, "$.confidence").try_cast("double"))
-    spec = F.struct(*[c.alias(n) for n, c in _lists(x, most).items()], F.when(F.get_json_object(x, "$.confidence").isNotNull(), confidence).alias("confidence"), F.lit("cortex").alias("source"))
+    spec = F.struct(*[c.alias(n) for n, c in _lists(x, most).items()], F.when(F.get_json_object(x, "$.confidence").isNotNull(), confidence).alias("confidence"), F.lit("compiled").alias("source"))
     return F.when(_spec_ok(x, ("confidence", "source")) & _searchable(spec), spec).otherwise(fallback_spec(query))
 
 
@@ -73,7 +73,7 @@ def plan_of(reply: Column, question: Column, most: int, archetypes: tuple[str, .
     x = bare_json(reply)
     located = F.get_json_object(x, "$.locator")
     at = F.when(F.json_object_keys(located).isNotNull(), located).otherwise("{}")
-    spec = F.struct(*[c.alias(n) for n, c in _lists(at, most).items()], F.lit(None).cast("double").alias("confidence"), F.lit("cortex").alias("source"))
+    spec = F.struct(*[c.alias(n) for n, c in _lists(at, most).items()], F.lit(None).cast("double").alias("confidence"), F.lit("compiled").alias("source"))
     read = F.json_object_keys(x).isNotNull()
     locator = F.when(read & _spec_ok(at, ("confidence", "source")) & _searchable(spec), spec).otherwise(fallback_spec(question))
     kind, answer = F.get_json_object(x, "$.archetype"), F.get_json_object(x, "$.expected_answer_type")

@@ -23,9 +23,9 @@ from .registry import query
 
 #: Replies with the visual phrases, source and confidence of their specs; %d in a query is the key.
 SPECS = [
-    ('{"visual_phrases": ["red car", "a bridge", "rain", "dusk"], "confidence": 1.7}', "red car|a bridge|rain", "cortex", 1.0),
-    ('```json\n{"visual_phrases": ["boat"], "negations": ["car"], "confidence": 0.25, "source": "other"}\n```', "boat", "cortex", 0.25),
-    ('<think>hm</think>{"ocr_literals": ["EXIT"], "visual_phrases": []}', "", "cortex", None),
+    ('{"visual_phrases": ["red car", "a bridge", "rain", "dusk"], "confidence": 1.7}', "red car|a bridge|rain", "compiled", 1.0),
+    ('```json\n{"visual_phrases": ["boat"], "negations": ["car"], "confidence": 0.25, "source": "other"}\n```', "boat", "compiled", 0.25),
+    ('<think>hm</think>{"ocr_literals": ["EXIT"], "visual_phrases": []}', "", "compiled", None),
     ('{"negations": ["car"]}', "query", "fallback", None),
     ('{"visual_phrases": "boat"}', "query", "fallback", None),
     ('{"visual_phrases": ["boat"], "mood": "sad"}', "query", "fallback", None),
@@ -189,7 +189,7 @@ def _specs(spark, d):
     words = F.filter(F.split("text", " "), lambda w: T.strip(w) != "")
     none = F.array().cast("array<string>")
     lists = {"ocr_literals": F.slice(words, 1, 3), "entity_terms": F.slice(words, 4, 2), "negations": F.array(F.lit("STRASSE"), F.lit("thand"))}
-    spec = F.struct(*[lists.get(n, none).alias(n) for n in P.SPEC_LISTS], F.lit(0.5).alias("confidence"), F.when(F.col("item_id") % 5 == 0, "fallback").otherwise("cortex").alias("source"))
+    spec = F.struct(*[lists.get(n, none).alias(n) for n in P.SPEC_LISTS], F.lit(0.5).alias("confidence"), F.when(F.col("item_id") % 5 == 0, "fallback").otherwise("compiled").alias("source"))
     return b.select(F.col("item_id").alias("query_id"), spec.alias("spec"), F.col("text").alias("raw"))
 
 
