@@ -106,6 +106,15 @@ def _by(rows, key):
     return out
 
 
+def test_ranges_that_meet_stay_one_row_each(spark):
+    """A frame that ends one range and starts the next is timed twice."""
+    ranges = spark.createDataFrame([("v", 0, 4), ("v", 4, 9), ("v", 4, 9)], "video_id string, first bigint, last bigint")
+    p = spark.createDataFrame([("v", 3, 0.2), ("v", 3, 0.7)], "video_id string, frame bigint, p double")
+    times = spark.createDataFrame([("v", 0, 0), ("v", 4, 160), ("v", 4, 160), ("v", 9, 360)], "video_id string, frame bigint, ms bigint")
+    got = sorted(map(tuple, O.ranges_to_shots(ranges, p, times).select("first", "last", "start_ms", "end_ms", "boundary_confidence").collect()))
+    assert got == [(0, 4, 0, 160, 1.0), (4, 9, 160, 360, 0.7), (4, 9, 160, 360, 0.7)]
+
+
 def test_unicode_functions(spark):
     words = ["Straße", "  é ", "Đặng", "é", None, ""]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(T.nfc_casefold("w").alias("c"), T.nfc_strip("w").alias("n"), T.fold_diacritics("w").alias("f")).collect()
