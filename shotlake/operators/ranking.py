@@ -29,6 +29,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to some digits as SQL rounds doubles: the scaled number to the next whole one, halves away from zero, the sign of zero kept.
+
+    `F.round` rounds the shortest decimal of x instead, which differs in the last
+    digit where scaling meets or leaves a half.
+    """
+    scale = float(10**digits)
+    whole = F.round(F.abs(x) * scale, 0) / scale
+    return F.when(x < 0, -whole).when(x == 0, x).otherwise(whole)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

@@ -129,7 +129,7 @@ def prior(spark, d):
 @query("v01_normalise", "select vec_id, [round(x::double/n, 6) for x in embedding] vec from (select vec_id, embedding, sqrt(list_sum([x::double*x::double for x in embedding])) n from embeddings)")
 def normalise(spark, d):
     e = V.table(spark, d, "embeddings")
-    return e.select("vec_id", F.transform(R.normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("vec"))
+    return e.select("vec_id", F.transform(R.normalised(F.col("embedding")), lambda x: R.rounded(x, 6)).alias("vec"))
 
 
 @query("v07_rocchio", """with e as (select vec_id, label, unnest(embedding) x, generate_subscripts(embedding,1) pos from embeddings), q as (select label query_id, pos, x::double x from e where vec_id = (select min(vec_id) from embeddings f where f.label=e.label)),
