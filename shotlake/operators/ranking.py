@@ -163,7 +163,7 @@ def fuse_windows(rankings: DataFrame, weights: DataFrame, meta: DataFrame, windo
     -> (query_id, shot_key, score, in_window, rank)
     """
     parts = rankings.join(weights, _by(weights)).groupBy("query_id", "shot_key", "label").agg(F.sum(F.col("weight") / (F.lit(float(k)) + F.col("rank"))).alias("con"))
-    base = parts.groupBy("query_id", "shot_key").agg(F.round(F.sum("con"), digits).alias("base"))
+    base = parts.groupBy("query_id", "shot_key").agg(rounded(F.sum("con"), digits).alias("base"))
     if window_ms <= 0:
         plain = base.select("query_id", "shot_key", F.col("base").alias("score"), F.lit(False).alias("in_window"))
         return numbered(plain, ["query_id"], F.desc("score"), F.col("shot_key"))
@@ -175,7 +175,7 @@ def fuse_windows(rankings: DataFrame, weights: DataFrame, meta: DataFrame, windo
     before = (F.col("mid_ms") >= F.col("head_ms") - window_ms) & ((F.col("mid_ms") < F.col("head_ms")) | ((F.col("mid_ms") == F.col("head_ms")) & (F.col("shot_key") <= F.col("head"))))
     inside = heads.join(members, ["query_id", "video_id", "bucket"]).where(before).select("query_id", "video_id", "head", "shot_key", "mid_ms", "base")
     reps = inside.groupBy("query_id", "video_id", "head").agg(F.min_by("shot_key", F.struct(-F.col("base"), F.col("shot_key"))).alias("rep"))
-    labels = inside.join(parts, ["query_id", "shot_key"]).withColumn("con", F.round("con", 12))
+    labels = inside.join(parts, ["query_id", "shot_key"]).withColumn("con", rounded(F.col("con"), 12))
     best = labels.groupBy("query_id", "head", "label").agg(F.max("con").alias("con"), F.min_by("mid_ms", F.struct(-F.col("con"), F.col("mid_ms"))).alias("at"))
     if label_order is not None:
         best = best.join(label_order, _by(label_order), "left")
@@ -188,7 +188,7 @@ def fuse_windows(rankings: DataFrame, weights: DataFrame, meta: DataFrame, windo
     scored = summed.join(reps, ["query_id", "head"]).withColumn("score", lifted)
     if prior is not None:
         scored = scored.join(prior, ["query_id", "video_id"], "left").withColumn("score", F.col("score") + F.coalesce("prior", F.lit(0.0)))
-    top = scored.groupBy("query_id", F.col("rep").alias("shot_key")).agg(F.round(F.max("score"), digits).alias("score")).withColumn("in_window", F.lit(True))
+    top = scored.groupBy("query_id", F.col("rep").alias("shot_key")).agg(rounded(F.max("score"), digits).alias("score")).withColumn("in_window", F.lit(True))
     tail = base.join(top, ["query_id", "shot_key"], "left_anti").select("query_id", "shot_key", F.col("base").alias("score"), F.lit(False).alias("in_window"))
     return numbered(top.unionByName(tail), ["query_id"], F.desc("in_window"), F.desc("score"), F.col("shot_key"))
 
