@@ -276,7 +276,7 @@ def _corpus(spark, d):
     more = lambda df, c, v: df.select(c).unionAll(spark.createDataFrame([(v,)], f"{c} string"))
     tables = {
         "videos": videos, "shots": shots, "keyframes": keyframes, "embeddings": embeddings, "ocr": more(kf.where("frame_idx % 2 = 0"), "keyframe_id", "V000_s9_f99999"),
-        "captions": more(shots, "shot_key", "V000:999"), "asr": more(shots.select("video_id").distinct(), "video_id", "V999"),
+        "captions": more(shots, "shot_key", "V000:none"), "asr": more(shots.select("video_id").distinct(), "video_id", "Vnone"),  # keys that no number of rows makes
     }
     readable = frames.where("not (video_id = 'V002' and frame_idx = 1)").select("image_path")
     shards = spark.createDataFrame([("shard-0", 10**6), ("shard-1", 10**6), ("shard-2", 10**6), ("shard-3", None), ("shard-4", 10**6), ("shard-5", 1)], "shard string, rows bigint")
