@@ -162,9 +162,16 @@ def confident_speech(rows: DataFrame, no_speech: float, log_prob: float) -> Data
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", ord_col: str = "ord") -> DataFrame:
-    """(term, id, ord, dw): letter runs of the lower-cased text, weighed 1 + ln(frequency); empty documents are absent."""
-    terms = F.filter(F.split(F.lower(text_col), r"[^\p{L}]+"), lambda t: t != "")
-    counted = docs.select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"), F.explode(terms).alias("term")).groupBy("id", "ord", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, id, ord, dw): letter runs of the lower-cased text, weighed 1 + ln(frequency); empty documents are absent.
+
+    Texts are dealt by id before they are taken apart, so that terms are counted,
+    and can be scored by document, where they are. The session's number of
+    shuffle partitions holds, since terms take several times their text.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"), F.col(text_col).alias("text")).repartition(parts, "id")
+    terms = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda t: t != "")
+    counted = dealt.select("id", "ord", F.explode(terms).alias("term")).groupBy("id", "ord", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counted.select("term", "id", "ord", (F.lit(1.0) + F.log(F.col("tf").cast("double"))).alias("dw"))
 
 

@@ -121,10 +121,14 @@ def sparse_top_k(queries: DataFrame, postings: DataFrame, k: int, digits: int =
     """queries (query_id, term, qw), postings (term, id, ord, dw) -> (query_id, id, score, rank); ties by ord.
 
     Weights that are not positive are ignored on both sides; documents without
-    a shared term never appear. Partial sums are taken before rows move.
+    a shared term never appear. Queries are broadcast: where postings are dealt
+    by id, scores need no exchange, and k rows a query and partition move.
     """
+    asked = queries.where("qw > 0")
+    # the filter goes below the counting of terms, which the join can't
+    held = postings.where("dw > 0").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     scored = (
-        queries.where("qw > 0").join(postings.where("dw > 0"), "term")
+        held.join(F.broadcast(asked), "term")
         .groupBy("query_id", "id", "ord").agg(F.round(F.sum(F.col("qw") * F.col("dw")), digits).alias("score"))
     )
     return numbered(scored, ["query_id"], F.desc("score"), F.col("ord"), most=k).select("query_id", "id", "score", "rank")

@@ -206,8 +206,9 @@ def retrieve(spark, d):
 def _candidates(spark, d):
     specs = _specs(spark, d)
     subs = X.plan(specs, FIELDS, {"literal_sparse": 1.0, "factoid_sparse": 0.25}, 0.3)
-    rankings = X.dispatch(subs, _channels(spark, d), 30)
-    return specs, rankings, X.fused(rankings, subs)
+    # every feature reads them again; they are as many as the queries ask for
+    rankings = I.cut(X.dispatch(subs, _channels(spark, d), 30))
+    return specs, rankings, I.cut(X.fused(rankings, subs))
 
 
 @query("q04_features", SPEC_SQL + """, cr as (select query_id, split_part(label, '.', -1) channel, id, min(rank) rank from r where rank <= 20 group by all), un as (select distinct query_id, id from cr), pr as (select u.query_id, coalesce(a.rank, 21) x, coalesce(b.rank, 21) y from un u left join cr a on a.query_id=u.query_id and a.id=u.id and a.channel='literal_sparse' left join cr b on b.query_id=u.query_id and b.id=u.id and b.channel='factoid_sparse' where u.query_id in (select query_id from cr where channel='literal_sparse') and u.query_id in (select query_id from cr where channel='factoid_sparse')),
