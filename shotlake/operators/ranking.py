@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +108,37 @@ def _scored(queries: DataFrame, index: DataFrame, k: int, digits: int) -> DataFr
     return index.select("id", "vec").mapInArrow(run, kinds)
 
 
+def dense_top_k_in_blocks(queries: DataFrame, index: DataFrame, k: int, digits: int = 9, rows: int = 8192) -> DataFrame:
+    """The search of `dense_top_k` by another way, to hold against it: blocks of queries meet blocks of the index.
+
+    Both sides are dealt by hashes into blocks of about `rows` rows, one task for
+    a pair of blocks. Scores are sums of products without a matrix product, of a
+    bounded piece of the pair at a time; whole rows of scores are sorted.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+    across, down = (max(1, -(-df.count() // rows)) for df in (queries, index))
+    q = queries.withColumn("_x", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    i = index.select("id", "vec").withColumn("_y", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        asked, held = asked[asked["qvec"].notna()], held[held["vec"].notna()].sort_values("id")
+        of, to = asked["qvec"].map(len), held["vec"].map(len)
+        for dim in sorted(set(of) & set(to)):
+            names, ids = asked["query_id"][of == dim].to_numpy(), held["id"][to == dim].to_numpy()
+            a, b = (np.stack(list(x)).astype(np.float64) for x in (asked["qvec"][of == dim], held["vec"][to == dim]))
+            for at in range(0, len(a), 256):
+                scores = np.round(np.einsum("qd,nd->qn", a[at : at + 256], b, optimize=False), digits) + 0.0
+                # ids ascend, so a stable order of scores breaks ties by id
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                n = order.shape[1]
+                out.append(pd.DataFrame({"query_id": np.repeat(names[at : at + 256], n), "id": ids[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    met = q.groupBy("_x", "_y").cogroup(i.groupBy("_x", "_y")).applyInPandas(best, f"query_id {kind[0]}, id {kind[1]}, score double")
+    return numbered(met, ["query_id"], F.desc("score"), F.col("id"), most=k)
+
+
 def best_per_shot(ranked: DataFrame, meta: DataFrame, k: int) -> DataFrame:
     """Collapse keyframe hits to their shots, best first, hits without a shot dropped; (query_id, shot_key, timestamp_ms, score, rank)."""
     best = numbered(ranked.join(meta, "id"), ["query_id", "shot_key"], F.col("rank"), name="_of_shot", most=1)
