@@ -7,9 +7,9 @@ partition its own threshold from estimated candidate counts, an equi-join
 probes the partitions and `bit_count(a ^ b)` verifies.
 
 Null and empty texts, and texts without a word, have fingerprint zero and link
-like any other. Repeated rows share a fingerprint. `filtered`, which asks for
-similarity of shingles, finds its candidates in bands of minima. An empty table gives an
-empty result. Other columns of the input are not read.
+like any other. Repeated rows share a fingerprint. `filtered` takes these links and
+beside them those of similar shingles, whose candidates meet in bands of minima. An empty
+table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -310,22 +310,24 @@ def band_keys(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
     return out
 
 
-def shingle_nodes(docs: DataFrame, words: int) -> DataFrame:
-    """(key, node, n, bands) of docs (id, own, text), key a struct of id and own: the 64-bit digest of a text's shingle set, its size, and its band keys; equal sets share all three."""
+def shingle_nodes(docs: DataFrame, words: int, fp_words: int) -> DataFrame:
+    """(key, node, n, bands, fp) of docs (id, own, text), key a struct of id and own: the 64-bit digest of a text's shingle set, its size, and its band keys, which equal sets share, and the text's fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_set_of(t, words) for t in raw_texts(batch)]
+        texts = raw_texts(batch)
+        sets = [_set_of(t, words) for t in texts]
+        fps = fingerprint_array(texts, fp_words).view(np.int64)
         full = [i for i, x in enumerate(sets) if len(x)]
         keys = np.zeros((len(sets), BANDS), np.uint64)
         if full:
             sizes = [len(sets[i]) for i in full]
             keys[full] = band_keys(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(_digests(sets)), pa.array([len(x) for x in sets], pa.int64()), bands], ["id", "own", "node", "n", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(_digests(sets)), pa.array([len(x) for x in sets], pa.int64()), bands, pa.array(fps)], ["id", "own", "node", "n", "bands", "fp"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    nodes = map_texts(docs.select("id", "own", "text"), run, f"id {kind}, own long, node long, n long, bands array<bigint>")
-    return nodes.select(F.struct("id", "own").alias("key"), "node", "n", "bands")
+    nodes = map_texts(docs.select("id", "own", "text"), run, f"id {kind}, own long, node long, n long, bands array<bigint>, fp long")
+    return nodes.select(F.struct("id", "own").alias("key"), "node", "n", "bands", "fp")
 
 
 def _digests(sets: list[np.ndarray]) -> np.ndarray:
@@ -416,12 +418,22 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity:
     return _alike(both, similarity).unionAll(large).distinct()
 
 
-def filtered(docs: DataFrame, words: int = FILTER_WORDS, similarity: float = FILTER_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_links(nodes: DataFrame, tau: int) -> DataFrame:
+    """(a, b): links between nodes (node, fp) whose fingerprints differ in at most `tau` bits, found by the pigeonhole; of those with one fingerprint the smallest node meets the others."""
+    own = settle(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.select("node", "fp").distinct().join(own, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = lambda c: own.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
+    apart = links(own.select("fp"), tau).join(first("a"), "a").join(first("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return same.unionAll(apart.where("a <> b"))
+
+
+def filtered(docs: DataFrame, words: int = FILTER_WORDS, similarity: float = FILTER_SIMILARITY, id_col: str = "doc_id", text_col: str = "text", fp_words: int = 3, tau: int = 3) -> DataFrame:
     """The rows of docs, in all their columns, with the smallest id of their component; one row for each id and text.
 
-    Links are those of `similarity` in shingles. Fingerprints of such pairs
-    differ in about 10 bits at 0.8, too many for a pigeonhole that still tells
-    texts apart, so candidates meet in bands of minima instead. Null ids come
+    Links are those of `near_duplicates`, all that the pigeonhole finds within
+    `tau` bits, and beside them those of `similarity` in shingles. Fingerprints
+    of the latter differ in about 10 bits at 0.8, too many for a pigeonhole
+    that still tells texts apart, so these meet in bands of minima. Null ids come
     first; rows that share an id but not their text are documents of their own,
     in the order of a hash of the text.
     """
@@ -431,9 +443,10 @@ def filtered(docs: DataFrame, words: int = FILTER_WORDS, similarity: float = FIL
     rows = docs.toDF(*names).withColumn("id", F.col(of[id_col])).withColumn("own", F.xxhash64(of[text_col])).withColumn("text", F.col(of[text_col]))
     # structs with equal null ids are equal, so one plain key serves joins and the last grouping
     keyed = rows.withColumn("key", F.struct("id", "own"))
-    nodes = settle(shingle_nodes(rows, words))
+    nodes = settle(shingle_nodes(rows, words, fp_words))
     distinct = settle(nodes.groupBy("node").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    labels = components(similar_links(keyed.select("key", "text"), distinct, words, similarity))
+    linked = fingerprint_links(nodes, tau).unionAll(similar_links(keyed.select("key", "text"), distinct, words, similarity))
+    labels = components(linked.distinct())
     named = distinct.join(labels, "node", "left").select("rep", F.coalesce("label", "node").alias("label"))
     stay = named.groupBy("label").agg(F.min("rep").alias("key")).select("key")
     return keyed.drop("id", "own", "text").join(stay, "key", "left_semi").dropDuplicates(["key"]).select(*names).toDF(*docs.columns)

@@ -158,6 +158,15 @@ def test_filter_links_by_exact_similarity(documents, bucket, monkeypatch):
     texts = tails(rng, 180, 20, 40) + tails(rng, 180, 21, 40)  # 160 / 200 links, 159 / 201 does not
     assert {r.doc_id for r in simhash.filtered(documents(texts)).collect()} == {*range(0, 80, 2), *range(80, 160)}
 
+def test_filter_takes_the_links_of_the_fingerprint(documents):
+    """Texts of one fingerprint whose shingles are too few alike for the bands: a long run of one word outweighs the rest."""
+    run = " ".join(["same"] * 60)
+    texts = [f"{run} {' '.join(f'{c}{i}' for i in range(20))}" for c in "abc"] + ["other words of a text of its own that nothing else is like"]
+    docs = documents(texts)
+    got = rows_by_id(simhash.near_duplicates(docs))
+    assert [got[i].component for i in range(4)] == [0, 0, 0, 3]
+    assert {r.doc_id for r in simhash.filtered(docs).collect()} == {0, 3}
+
 
 # 4
 def test_mixing(documents, edges, empty):
