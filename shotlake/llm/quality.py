@@ -220,7 +220,9 @@ def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     # the references need counts only; writing the texts beside them would cost the disk more than counting again costs time
     source = docs.toDF(*names).withColumn("ref", F.col(of[lang_col]))
     counted = written(measures(source.select(of[text_col], "ref"), of[text_col]).drop(of[text_col]))
-    return judge(measures(source, of[text_col]), references(counted, "ref")).where("kept").select(*names).toDF(*docs.columns)
+    # a filter moves below what it reads and then counts anew for each use, but not below a row's number
+    measured = measures(source, of[text_col]).withColumn("row", F.monotonically_increasing_id())
+    return judge(measured, references(counted, "ref")).where("kept and row >= 0").select(*names).toDF(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, raw_texts, settle, unsigned_hex
+from .common import map_texts, raw_texts, settle, sieve, unsigned_hex
 from .graph import components
 
 BITS = 64
@@ -398,8 +398,9 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity:
     keyed = distinct.select("node", "n", F.posexplode("bands").alias("band", "key"))
     sizes = settle(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     met = settle(keyed.join(sizes, ["band", "key"]))
-    asked = distinct.join(met.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("key"))
-    sets = settle(shingle_sets(docs.join(asked, "key", "left_semi"), words).dropDuplicates(["node"]))
+    asked = settle(distinct.join(met.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("key")))
+    wanted = docs.where(sieve(asked, "key")(F.col("key"))).join(asked, "key", "left_semi")
+    sets = settle(shingle_sets(wanted, words).dropDuplicates(["node"]))
     usual = met.where(F.col("members") <= BAND_BUCKET)
     a = usual.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"))
     b = usual.select("band", "key", F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -448,8 +449,12 @@ def filtered(docs: DataFrame, words: int = FILTER_WORDS, similarity: float = FIL
     linked = fingerprint_links(nodes, tau).unionAll(similar_links(keyed.select("key", "text"), distinct, words, similarity))
     labels = components(linked.distinct())
     named = distinct.join(labels, "node", "left").select("rep", F.coalesce("label", "node").alias("label"))
-    stay = named.groupBy("label").agg(F.min("rep").alias("key")).select("key")
-    return keyed.drop("id", "own", "text").join(stay, "key", "left_semi").dropDuplicates(["key"]).select(*names).toDF(*docs.columns)
+    stay = settle(named.groupBy("label").agg(F.min("rep").alias("key")).select("key"))
+    # a row that stays and has no equal needs no meeting with others; only the rest is shuffled with its texts
+    often = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    doubtful = sieve(nodes.select("key").join(stay, "key", "left_anti").unionAll(often), "key")(F.col("key"))
+    rest = keyed.where(doubtful).join(stay, "key", "left_semi").dropDuplicates(["key"])
+    return keyed.where(~doubtful).select(*names).unionAll(rest.select(*names)).toDF(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

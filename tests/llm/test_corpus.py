@@ -14,7 +14,7 @@ from edge_texts import EDGES
 from oracle import DATA, bag, expected
 from pyspark.sql import functions as F
 
-from shotlake.llm import flac, language_id, licenses, line_dedup, mixing, pii, quality, queries, sentence_pieces, simhash, suffix_dedup
+from shotlake.llm import common, flac, language_id, licenses, line_dedup, mixing, pii, quality, queries, sentence_pieces, simhash, suffix_dedup
 
 
 def rows_by_id(df):
@@ -158,6 +158,31 @@ def test_filter_links_by_exact_similarity(documents, bucket, monkeypatch):
     texts = tails(rng, 180, 20, 40) + tails(rng, 180, 21, 40)  # 160 / 200 links, 159 / 201 does not
     assert {r.doc_id for r in simhash.filtered(documents(texts)).collect()} == {*range(0, 80, 2), *range(80, 160)}
 
+
+@pytest.mark.parametrize("bits", [18, 1])
+def test_filter_shuffles_no_text_that_stays(documents, bits, monkeypatch):
+    """Copies of id and text, near copies and null ids meet whatever the sieve lets through; the other texts stay where they are."""
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    docs = documents([*tails(random.Random(14), 200, 12, 20), None, None, "", "one of its own"])
+    docs = docs.unionAll(docs.where("doc_id < 6")).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    kept = simhash.filtered(docs)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, *range(0, 6, 2), *range(8, 42, 2), 43]
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("\n")
+    other = next(i for i, x in enumerate(plan) if ":- " in x and "Union" in plan[i - 1])
+    second = next(i for i, x in enumerate(plan) if i > other and x.index("+-" if "+-" in x else x) == plan[other].index(":- "))
+    assert not any("Exchange" in x for x in plan[other:second]) and any("Exchange" in x for x in plan[second:])
+
+
+def test_sieve_holds_for_all_keys_and_few_others(spark):
+    keys = spark.range(20000).withColumn("key", F.struct(F.when(F.col("id") > 0, F.col("id")).alias("id"), (F.col("id") * 3).alias("own")))
+    held = common.sieve(keys.where("id % 2 = 0"), "key")
+    got = keys.groupBy(F.col("id") % 2 == 0).agg(F.count("key"), F.sum(held(F.col("key")).cast("int"))).collect()
+    counts = {r[0]: (r[1], r[2]) for r in got}
+    assert counts[True] == (10000, 10000) and counts[False][1] < 100
+    none = common.sieve(keys.where("false"), "key")
+    assert keys.where(none(F.col("key"))).count() == 0
+
+
 def test_filter_takes_the_links_of_the_fingerprint(documents):
     """Texts of one fingerprint whose shingles are too few alike for the bands: a long run of one word outweighs the rest."""
     run = " ".join(["same"] * 60)
@@ -359,6 +384,14 @@ def test_quality_verdicts_by_each_distance(documents):
     assert {r.doc_id for r in quality.filtered(docs).collect()} == set(range(60))
 
 
+def test_quality_filter_counts_a_text_once(documents):
+    """The filter reads the counts; below them it would count again for each use."""
+    docs = documents(["the house of the river and the garden in winter is a stone"] * 30)
+    plan = quality.filtered(docs)._jdf.queryExecution().executedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x]
+    assert filters and all("n_repeat_words" in x and "_words AS" not in x and "split(" not in x and "regexp" not in x for x in filters)
+
+
 def jensen_shannon(p, q):
     p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
     m = (p + q) / 2
