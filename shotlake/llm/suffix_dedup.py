@@ -39,6 +39,8 @@ LENGTH, K = 100, 24
 PIECE = 1 << 22
 MERGE_BYTES = 1 << 19
 SHARDS = 2
+#: Bytes that a round of a merge takes at once, where they divide the depth.
+WIDE = 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 24) - 1)
 
@@ -220,24 +222,34 @@ def _symbols(text: np.ndarray, step: int) -> np.ndarray:
 
 
 def _alphabet(shards: list[np.ndarray], depth: int) -> tuple[int, list[np.ndarray]]:
-    """The most bytes a round can take so that their kinds fit 16 bits, and each shard's symbols numbered in byte order."""
-    for step in (5, 4, 2, 1):
-        if depth % step:
-            continue
-        packed = [_symbols(s, step) for s in shards]
-        if step <= 2:
-            return step, [p.astype(np.uint16) for p in packed]
-        kinds, number = np.unique(np.concatenate(packed), return_inverse=True)
-        if len(kinds) <= 1 << 16:
-            return step, np.split(number.astype(np.uint16), np.cumsum([len(p) for p in packed])[:-1])
-    raise ValueError("depth must be positive")
+    """How many bytes a round takes, and for each place of each shard the number of the bytes before it among all shards' kinds, in byte order.
+
+    Kinds are no more than places, so numbers of twice as many bytes are had by numbering pairs.
+    """
+    step = next(s for s in (5, 4, 2, 1) if depth % s == 0)
+    ends = np.cumsum([len(s) for s in shards])[:-1]
+    keys = np.concatenate([_symbols(s, step) for s in shards])
+    while True:
+        number = np.unique(keys, return_inverse=True)[1].astype(np.uint32)
+        if step >= WIDE or depth % (2 * step):
+            return step, np.split(number, ends)
+        before = np.concatenate([np.roll(x, step) for x in np.split(number, ends)])
+        keys = before.astype(np.uint64) << np.uint64(32) | number
+        step *= 2
+
+
+def _stable_order(symbol: np.ndarray) -> np.ndarray:
+    """The stable order of 32-bit numbers; numpy sorts by radix up to 16 bits."""
+    order = np.argsort(symbol.astype(np.uint16), kind="stable")
+    high = (symbol >> np.uint32(16)).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
 def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge the shards' transforms by interleave refinement to `depth` bytes.
 
     A transform holds for each suffix, in order, the bytes before it; a round
-    takes several bytes at once where their kinds fit a 16-bit symbol. Returns
+    takes several bytes at once, as one numbered symbol. Returns
     for each merged place its shard, its place in the shard's text, and the
     common prefix with the place before it, in whole rounds, at most `depth`.
     """
@@ -248,16 +260,19 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     block = np.zeros(len(z), np.int32)
     common = np.full(len(z), depth, np.int16)
     common[:1] = 0
-    symbol = np.empty(len(z), np.uint16)
+    known = np.zeros(len(z), bool)
+    symbol = np.empty(len(z), np.uint32)
     for level in range(0, depth, step):
         for s, t in enumerate(transforms):
             symbol[z == s] = t
-        order = np.argsort(symbol, kind="stable")
+        order = _stable_order(symbol)
         z = z[order]
         now, block = symbol[order], block[order]
         border = np.zeros(len(z), bool)
         border[1:] = (now[1:] != now[:-1]) | (block[1:] != block[:-1])
-        common[border & (common == depth)] = level
+        # a border stays one in all later rounds
+        common[border & ~known] = level
+        known = border
         block = np.cumsum(border, dtype=np.int32)
     place = np.empty(len(z), np.int64)
     for s, o in enumerate(orders):
@@ -284,10 +299,17 @@ def repeats(strings: list[bytes], runs: np.ndarray, doc: np.ndarray, rid: np.nda
     interval = np.cumsum(common < LENGTH)
     real = np.nonzero(at < runs[owner])[0]
     owner, at, interval = owner[real], at[real], interval[real]
-    order = np.lexsort((start[owner] + at, rid[owner], doc[owner], interval))
-    late = order[~_groups(order, interval)]
+    if not len(owner):
+        return np.zeros((0, 3), np.int64)
+    # segments of a document share no start, so theirs come in the order of the segments
+    rank = np.empty(len(strings), np.int64)
+    rank[np.lexsort((start, rid, doc))] = np.arange(len(strings))
+    key = rank[owner] * (int(runs.max()) + 1) + at
+    heads = np.nonzero(_groups(np.arange(len(interval)), interval))[0]
+    least = np.repeat(np.minimum.reduceat(key, heads), np.diff([*heads, len(key)]))
+    late = np.nonzero(key != least)[0]
     owner, at = owner[late], at[late]
-    order = np.lexsort((at, owner))
+    order = np.argsort(owner * (int(runs.max()) + 1) + at)
     owner, at = owner[order], at[order]
     if not len(owner):
         return np.zeros((0, 3), np.int64)

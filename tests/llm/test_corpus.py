@@ -93,6 +93,22 @@ def test_transform_merge():
     assert [c >= 20 for c in common] == same
 
 
+def test_rounds_stay_wide_with_many_kinds():
+    """More kinds of byte strings than 16 bits can number don't make rounds narrow; the merge stays exact."""
+    rng = np.random.default_rng(4)
+    shards = [np.append(rng.integers(1, 256, 45_000), 0).astype(np.uint8) for _ in range(2)]
+    shards[1][5_000:9_000] = shards[0][30_000:34_000]
+    step, numbers = suffix_dedup._alphabet(shards, 100)
+    assert step == 20
+    before = [np.roll(s, 20 - p)[:20].tobytes() for s in shards for p in range(0, len(s), 97)]
+    picked = np.concatenate([n[::97] for n in numbers])
+    assert [before[i] for i in np.argsort(picked, kind="stable")] == sorted(before)
+    z, place, common = suffix_dedup.merge_transforms(shards, 100)
+    inner = place <= 45_000 - 100
+    strings = [shards[s][p : p + 100].tobytes() for s, p in zip(z[inner], place[inner], strict=True)]
+    assert strings == sorted(strings) and (common[inner] >= 100).sum() == len(strings) - len(set(strings)) == 3_901
+
+
 # 3
 def test_simhash(documents, empty):
     rng = random.Random(6)
